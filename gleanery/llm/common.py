@@ -53,6 +53,7 @@ def map_texts(
     make: Callable[[], Callable[[list[str | None]], list[list[Any]]]],
     fields: list[T.StructField],
     text: str = "text",
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Append columns that depend on the text of the same row; no shuffle.
 
@@ -70,7 +71,7 @@ def map_texts(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, slice_bytes):
                 made = work(part.column(at).to_pylist())
                 columns = [part.column(i) for i in keep]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
