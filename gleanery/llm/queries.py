@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, quality_rules, sharding, simhash, substring_dedup, token_count
+from gleanery.llm import decontaminate, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.report(secret_scan.scan_secrets(docs))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_jump_sharding": op7_jump_sharding,
+        "op9_secret_scan": op9_secret_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
