@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import BOOLEAN, LONG, STRING, fields, map_texts
+from gleanery.llm.suffixes import known_run, search, spread, suffix_array
 
 #: ASCII digits and letters and every byte of other characters, of text with A-Z lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,85 +42,6 @@ class TestSet:
         self.shortest = int(self.window.min(initial=window))
 
 
-def known_run(ids: np.ndarray) -> np.ndarray:
-    """For each position, how many words up to the next unknown one (id 0)."""
-    stops = np.flatnonzero(ids == 0)
-    return stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
-
-
-def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """starts in the lexicographic order of the `depth` words that follow each.
-
-    As many words as fit are packed in a 64-bit key; later keys are only
-    compared among suffixes that are equal so far.
-    """
-    bits = max(1, int(ids.max(initial=1)).bit_length())
-    per_key = 63 // bits
-    padded = np.concatenate([ids, np.zeros(depth + per_key, dtype=np.int64)])
-    keys = np.zeros(len(ids) + depth, dtype=np.int64)
-    for j in range(per_key):
-        keys = (keys << bits) | padded[j : j + len(keys)]
-    order = starts[np.argsort(keys[starts], kind="stable")]
-    first = keys[order]
-    group = np.concatenate([[0], np.cumsum(first[1:] != first[:-1])]) if len(order) else np.zeros(0, dtype=np.int64)
-    for shift in range(per_key, depth, per_key):
-        tied = np.zeros(len(order), dtype=bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        key = keys[order[at] + shift]
-        by = np.lexsort((key, group[at]))
-        order[at], key, old = order[at][by], key[by], group[at]
-        fresh = np.concatenate([[False], (old[1:] != old[:-1]) | (key[1:] != key[:-1])])
-        steps = np.zeros(len(order), dtype=np.int64)
-        steps[1:] = group[1:] != group[:-1]
-        steps[at] |= fresh
-        group = np.cumsum(steps)
-    return order
-
-
-def search(ids: np.ndarray, array: np.ndarray, tests: TestSet) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Binary-search all test suffixes at once, a word deeper at a time.
-
-    Yields (depth, queries, low, high): the suffixes array[low:high] share their
-    first `depth` words with the query. Queries end where nothing matches.
-    """
-    query = np.arange(len(tests.starts))
-    low, high = np.zeros(len(query), dtype=np.int64), np.full(len(query), len(array), dtype=np.int64)
-    for depth in range(1, tests.longest + 1):
-        longer = tests.left[tests.starts[query]] >= depth
-        query, low, high = query[longer], low[longer], high[longer]
-        wanted = tests.words[tests.starts[query] + depth - 1]
-        column = lambda at, d=depth: ids[array[at] + d - 1]
-        low, high = bound(column, wanted, low, high, False), bound(column, wanted, low, high, True)
-        found = low < high
-        query, low, high = query[found], low[found], high[found]
-        if not len(query):
-            return
-        yield depth, query, low, high
-
-
-def bound(column, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
-    low, high = low.copy(), high.copy()
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_]) >> 1
-        seen = column(mid)
-        right = seen <= wanted[open_] if upper else seen < wanted[open_]
-        low[open_[right]] = mid[right] + 1
-        high[open_[~right]] = mid[~right]
-    return low
-
-
-def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all ranges in turn, and the number of the range of each."""
-    size = high - low
-    which = np.repeat(np.arange(len(low)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which], which
-
-
 def scan_marks(docs: list[list[bytes]], tests: TestSet) -> tuple[np.ndarray, dict[int, set[int]], np.ndarray]:
     """One shard: hit marks of all words, items by document, longest match by document."""
     sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
