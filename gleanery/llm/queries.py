@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_count
+from gleanery.llm import decontaminate, piece_codec, quality_model, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = piece_codec.decode_ids(piece_codec.encode_texts(docs, model), model)
+    return both.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -43,6 +56,13 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    held_out = (quality_model.fold(F.col("doc_id")) == 1).alias("held_out")
+    return quality_model.score_documents(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.report(secret_scan.scan_secrets(docs))
@@ -58,8 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_groups": op2_simhash_groups,
         "op3_decontamination": op3_decontamination,
+        "op5_piece_codec": op5_piece_codec,
         "op6_token_counts": op6_token_counts,
         "op7_jump_sharding": op7_jump_sharding,
+        "op8_quality_model": op8_quality_model,
         "op9_secret_scan": op9_secret_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
