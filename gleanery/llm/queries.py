@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, piece_codec, quality_model, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_count
+from gleanery.llm import decontaminate, line_dedup, piece_codec, quality_model, quality_rules, secret_scan, sharding, simhash, substring_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, with_text=False)
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_groups": op2_simhash_groups,
         "op3_decontamination": op3_decontamination,
+        "op4_line_dedup": op4_line_dedup,
         "op5_piece_codec": op5_piece_codec,
         "op6_token_counts": op6_token_counts,
         "op7_jump_sharding": op7_jump_sharding,
