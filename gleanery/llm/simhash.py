@@ -256,11 +256,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
-    """Append fingerprint (long) and component_id to every row.
+    """(key, fp, component_id) for every row of docs: its fingerprint as a long, and its group.
 
     Fingerprints link at `most` or fewer differing bits; component_id is the
-    smallest key that chains of links reach, the row's own included. Columns of
-    docs with these names are replaced.
+    smallest key that chains of links reach, the row's own included. Other
+    columns are left out.
 
     Texts without words, null and empty ones too, have fingerprint 0 and link
     like any other. Rows with a null key belong to components but never name
@@ -268,16 +268,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     fingerprints are reduced to one before any comparison, with partial
     aggregation, so groups of copies cost a row each.
     """
-    drop = [c for c in docs.columns if c.lower() in {"fingerprint", "component_id"} and c not in (key, text)]
-    marked = cut(add_fingerprints(docs.drop(*drop).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "fp", "text", shingle).select("key", "fp"))
-    return component_ids(marked, most)
+    plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    marked = cut(add_fingerprints(plain, "fp", "text", shingle).select("key", "fp"))
+    return marked.join(group_names(marked, most), "fp").select("key", "fp", "component_id")
 
 
-def component_ids(marked: DataFrame, most: int) -> DataFrame:
-    """(key, fp) with component_id."""
+def group_names(marked: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) for the different fingerprints of (key, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(link_fingerprints(distinct.select("fp"), "fp", most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "root").select("fp", "component_id")
-    return marked.join(final, "fp")
+    return named.join(least, "root").select("fp", "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, most: int = 4) -> DataFrame:
+    """The rows of docs whose key names their group, with all their columns: one of each group.
+
+    Of rows that share such a key, one stays. Rows with a null key stay, as they
+    can't be told apart from the first of a group.
+    """
+    named = near_duplicates(docs, key, text, shingle, most)
+    first = named.where("key = component_id").select(F.col("key").alias(own := free_name(docs, "first_key"))).distinct()
+    whole = docs.where(F.col(f"`{key}`").isNotNull()).join(first, F.col(f"`{key}`") == F.col(own), "left_semi").dropDuplicates([key])
+    return whole.unionByName(docs.where(F.col(f"`{key}`").isNull()))
