@@ -30,7 +30,7 @@ GRAM = 32
 U = np.uint64
 MIX_1, MIX_2, BASE_1, BASE_2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 #: Bytes of text parsed at once, and of dictionary phrases ordered at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 #: Bits for a position in a shard; the rest of a trigger's hash decides which is smallest.
 PLACE = 31
