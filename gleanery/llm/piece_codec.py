@@ -14,7 +14,7 @@ keeps the edge whose piece may follow the last piece at its start.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
@@ -197,6 +197,19 @@ def decode(ids: list[int], table: list[bytes]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def blocks_of(words: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of words of about `most` characters; a longer word is a run of its own."""
+    block, size = [], 0
+    for w in words:
+        if block and size + len(w) > most:
+            yield block
+            block, size = [], 0
+        block.append(w)
+        size += len(w) + 1
+    if block:
+        yield block
+
+
 def load(model: str):
     import sentencepiece
 
@@ -208,15 +221,15 @@ def encode_texts(
     model: str,
     text: str = "text",
     ids: str = "piece_ids",
-    cache_entries: int = 400_000,
-    block_words: int = 100_000,
+    cache_entries: int = 150_000,
+    block_chars: int = 150_000,
 ) -> DataFrame:
     """Append ids: array<int>, the ids of each whole text, as the model's own library gives them.
 
     No begin, end or added tokens; characters the model lacks become bytes. Null
     and empty texts have no ids. A column of docs named like ids is replaced. No
     row moves. Words known to the worker come from its cache of about
-    cache_entries entries; new ones are matched in blocks of block_words.
+    cache_entries entries; new ones are matched in blocks of about block_chars.
     """
 
     def make() -> Callable:
@@ -226,20 +239,19 @@ def encode_texts(
             if len(cache) > cache_entries:
                 cache.clear()
             parts = [pretokens(t) if t else [] for t in texts]
-            fresh = {}
             missing = list({w for p in parts for w in p if w not in cache})
-            for i in range(0, len(missing), block_words):
-                block = missing[i : i + block_words]
-                fresh.update(zip(block, pieces.encode(block), strict=True))
-            known = cache | fresh if fresh else cache
-            raw = [b"".join(map(known.__getitem__, p)) for p in parts]
-            cache.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+            for block in blocks_of(missing, block_chars):
+                cache.update(zip(block, pieces.encode(block), strict=True))
+            raw = [b"".join(map(cache.__getitem__, p)) for p in parts]
+            for w in missing:
+                if len(w) > 64:
+                    del cache[w]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))]
 
         return work
 
-    return map_texts(docs, make, fields(**{ids: T.ArrayType(INT)}), text)
+    return map_texts(docs, make, fields(**{ids: T.ArrayType(INT)}), text, 2 << 20)
 
 
 def decode_ids(docs: DataFrame, model: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
