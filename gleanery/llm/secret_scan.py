@@ -27,6 +27,8 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z_]{6,}"
 CODES = len(ALPHABET) + 1
+#: Weight of the single characters against the transitions seen.
+BACKING = 20.0
 KINDS = ("assign", "access", "hex", "markov")
 SPANS = "array<struct<start:int,end:int,i:int>>"
 
@@ -83,17 +85,30 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
 def ratio_model(samples: DataFrame) -> DataFrame:
     """One row, one array: the log-likelihood ratio of each transition, random over ordinary, at code * CODES + code + 1.
 
-    Counts are smoothed by 1, so that samples of one kind or none give a
-    uniform model. The array has CODES ** 2 entries whatever the input.
+    Transitions are backed by how often the second character comes at all, and
+    that by 1, so that samples of one kind or none give a uniform model. The array has CODES ** 2 entries whatever the input.
     """
     seen = samples.select("secret", F.explode(pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(
         F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o")
     )
     grid = samples.sparkSession.range(CODES * CODES).select(F.col("id").cast("int").alias("pair"))
-    counts = grid.join(F.broadcast(seen), "pair", "left").select("pair", F.floor(F.col("pair") / CODES).alias("from"), F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("o", F.lit(0)).alias("o"))
-    totals = counts.groupBy("from").agg((F.sum("s") + CODES).alias("all_s"), (F.sum("o") + CODES).alias("all_o"))
-    ratio = F.log((F.col("s") + 1) / F.col("all_s")) - F.log((F.col("o") + 1) / F.col("all_o"))
-    rated = counts.join(F.broadcast(totals), "from").select(F.struct("pair", ratio.alias("ratio")).alias("x"))
+    counts = grid.join(F.broadcast(seen), "pair", "left").select(
+        "pair",
+        F.floor(F.col("pair") / CODES).alias("from"),
+        (F.col("pair") % CODES).alias("to"),
+        F.coalesce("s", F.lit(0)).alias("s"),
+        F.coalesce("o", F.lit(0)).alias("o"),
+    )
+    # The grid has CODES ** 2 rows.
+    leaving = counts.groupBy("from").agg(F.sum("s").alias("from_s"), F.sum("o").alias("from_o"))
+    arriving = counts.groupBy("to").agg((F.sum("s") + 1).alias("to_s"), (F.sum("o") + 1).alias("to_o"))
+    whole = counts.agg((F.sum("s") + CODES).alias("all_s"), (F.sum("o") + CODES).alias("all_o"))
+    full = counts.join(F.broadcast(leaving), "from").join(F.broadcast(arriving), "to").join(F.broadcast(whole), F.lit(True))
+
+    def likelihood(k: str) -> Column:
+        return (F.col(k) + BACKING * F.col(f"to_{k}") / F.col(f"all_{k}")) / (F.col(f"from_{k}") + BACKING)
+
+    rated = full.select(F.struct("pair", (F.log(likelihood("s")) - F.log(likelihood("o"))).alias("ratio")).alias("x"))
     return rated.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ratio"]).alias("model"))
 
 
