@@ -94,7 +94,7 @@ def confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
         F.round(F.when(n < 2, 0.3).otherwise(F.least(F.lit(1.0), F.col("docs") / F.least(n, F.lit(5)))), 6).alias("source_diversity"),
     )
     overall = F.col("score_distribution") * 0.2 + F.col("entity_coverage") * 0.3 + F.col("source_agreement") * 0.3 + F.col("source_diversity") * 0.2
-    return out.withColumn("overall", F.round(overall, 6)).withColumn("explanation", explanation())
+    return out.withColumn("overall", F.round(overall, 8)).withColumn("explanation", explanation())
 
 
 def explanation() -> Column:

@@ -265,7 +265,7 @@ s AS (SELECT query_id, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS s
 j AS (SELECT a.query_id, avg(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms)))::DOUBLE) AS agreement FROM r a JOIN r b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(a.terms) > 0 AND len(b.terms) > 0 GROUP BY 1),
 p AS (SELECT query_id, n, round(CASE WHEN n < 2 THEN 0.5 ELSE mean * 0.6 + (1 - least(spread * 2, 1.0)) * 0.4 END, 6) AS score_distribution, 0.7::DOUBLE AS entity_coverage,
   round(CASE WHEN n < 2 THEN 0.5 ELSE coalesce(agreement, 0.5) END, 6) AS source_agreement, round(CASE WHEN n < 2 THEN 0.3 ELSE least(1.0, docs / least(n, 5)::DOUBLE) END, 6) AS source_diversity FROM s LEFT JOIN j USING (query_id))
-SELECT *, round(score_distribution * 0.2 + entity_coverage * 0.3 + source_agreement * 0.3 + source_diversity * 0.2, 6) AS overall FROM p""")
+SELECT *, round(score_distribution * 0.2 + entity_coverage * 0.3 + source_agreement * 0.3 + source_diversity * 0.2, 8) AS overall FROM p""")
 def confidence_parts(spark: SparkSession, d: str) -> DataFrame:
     found = keyword.bm25(chunks_(spark, d), asked(spark, d), 8).withColumn("score", F.col("score") / 100)
     docs = chunks_(spark, d).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", "a"))
