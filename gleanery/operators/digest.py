@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import strip
+
 
 def recent(docs: DataFrame, now: str, hours: int = 24, collection: str | None = None) -> DataFrame:
     """Documents of the last hours, newest first."""
@@ -22,7 +24,7 @@ def title(markdown: Column, name: Column) -> Column:
 def abstract(markdown: Column, most: int = 500) -> Column:
     """What follows a heading Abstract, up to the next heading; else the start."""
     found = F.regexp_extract(markdown, r"(?is)(?:^|\n)#*\s*abstract\s*\n(.*?)(?:\n#|$)", 1)
-    return F.substring(F.trim(F.when(found != "", found).otherwise(markdown)), 1, most)
+    return F.substring(strip(F.when(found != "", found).otherwise(markdown)), 1, most)
 
 
 def markdown(papers: DataFrame, heading: str, most: int = 100) -> DataFrame:
