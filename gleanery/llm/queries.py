@@ -93,5 +93,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP1 = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM grams) WHERE c > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS again FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(lines.again, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND 10 * n_symbols <= n_words AND 2 * upper <= letters AND 10 * n_dup_lines <= 5 * n_lines AND word_chars BETWEEN 2 * n_words AND 15 * n_words AS kept FROM b"""
+FOUND = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3 = rf"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {FOUND} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS gram FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {FOUND} AS w FROM documents),
+grams AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, p, k, item FROM grams JOIN windows USING (k, gram)),
+words AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM hits, range(10) AS r(j) WHERE j < k GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no XXH64, CRC-32 or SentencePiece, and line and substring joins take it too long: those are tested against brute force."""
+    return {"op1_quality_rules": OP1, "op3_decontamination": OP3}
