@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +26,46 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder in spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint df, so that nothing before it runs again or needs to be kept."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings (double underscores for dots) while something runs."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, **values: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column.
+
+    Its shuffle files go when it is written. values are settings while it runs.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **values):
+        df.select("*").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` bytes of text each; a longer text is a run of its own."""
     if batch.num_rows == 0:

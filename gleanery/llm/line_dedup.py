@@ -9,13 +9,15 @@ passes these filters is verified on the whole sets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut
+from gleanery.llm.common import cut, stored
 
-BLANKS = r"[\x20\x09-\x0D]+"
+#: Blanks beside the space and the line feed.
+OTHER_BLANKS = "\t\x0b\x0c\r"
 #: Words are counted in so many buckets of their hash: enough to tell rare from common, and a fixed size to hand out.
 RARITY_BITS = 16
 #: Bits of the map of lines to verify; it spares shuffling the others, and its size is fixed.
@@ -44,11 +46,11 @@ class Similarity:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, words): hashes of the different words of each line that has some, lower-cased."""
-    lines = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "s"))
-    words = F.filter(F.split(F.lower("s"), BLANKS), lambda w: w != "")
-    hashed = lines.select("doc", "line", F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.where(F.size("words") > 0)
+    """(doc, line, s): all lines, lower-cased, with spaces for all blanks."""
+    lines = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(F.split(F.lower(F.col(f"`{text}`")), "\n")).alias("line", "s"))
+    # Few lines have other blanks, and looking for them is cheaper than rewriting all.
+    other = reduce(lambda x, y: x | y, [F.contains("s", F.lit(c)) for c in OTHER_BLANKS])
+    return lines.withColumn("s", F.when(other, F.translate("s", OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(F.col("s")))
 
 
 def one_at(place: Column) -> Column:
@@ -70,7 +72,8 @@ def as_array(df: DataFrame, at: str, value: str, size: int, default: int) -> Dat
 def rarity(lines: DataFrame) -> DataFrame:
     """One row: for each bucket of words its place from the rarest to the most common, over the whole corpus."""
     size = 1 << RARITY_BITS
-    counted = lines.select(F.explode("words").alias("w")).groupBy(bucket_of(F.col("w"), RARITY_BITS).alias("bucket")).agg(F.count("*").alias("n"))
+    words = lines.select(F.explode(F.split("s", " ")).alias("w")).where("w <> ''")
+    counted = words.groupBy(bucket_of(F.xxhash64("w"), RARITY_BITS).alias("bucket")).agg(F.count("*").alias("n"))
     grid = lines.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     full = grid.join(F.broadcast(counted), "bucket", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bucket").alias("x"))
     ordered = full.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.posexplode("x").alias("place", "x"))
@@ -78,19 +81,22 @@ def rarity(lines: DataFrame) -> DataFrame:
 
 
 def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """words become numbers that keep apart what the hashes keep apart and sort by rarity; n, sig and the set's digest are added.
+    """(doc, line, words, n, sig, h1, h2) of the lines with words.
 
-    A number is the place of the hash's bucket, then the rest of the hash. sig
-    has the parity of the set's words in each of 64 classes: two sets differ in
-    at least as many words as their signatures in bits.
+    words has a number for each different word: the place of its hash's bucket,
+    then the rest of the hash, so that numbers tell apart what hashes do and sort
+    by rarity. sig has the parity of the words in each of 64 classes: two sets
+    differ in at least as many words as their signatures in bits. h1 and h2
+    stand for the set.
     """
     table = places.scalar()
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    out = lines.select("doc", "line", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("places", table)
 
     def number(h: Column) -> Column:
-        return F.shiftleft(F.element_at("places", bucket_of(h, RARITY_BITS) + 1), 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+        return F.shiftleft(F.get("places", bucket_of(h, RARITY_BITS)), 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
 
-    words = F.sort_array(F.transform("words", number))
-    out = lines.withColumn("places", table).select("doc", "line", words.alias("words"))
+    out = out.select("doc", "line", F.sort_array(F.transform("hashes", number)).alias("words"))
     sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
     return out.select("doc", "line", "words", F.size("words").alias("n"), sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
@@ -99,34 +105,44 @@ ID = ("doc", "line", "n", "sig")
 
 
 def passing(like: Similarity, x: str, y: str) -> Column:
-    """Length, positional and signature filters on rows with a word in common at places x_pos and y_pos.
+    """Signature, length and positional filters on rows with a word in common at places x_pos and y_pos.
 
-    The positional filter may take the word as the first the two share: for the
-    one that is the first, it holds.
+    Sets as similar as asked differ in at most (n + m) (den - num) / (den + num)
+    words; the signature tells most others apart at once. The positional filter
+    may take the word as the first the two share: for the one that is the first,
+    it holds.
     """
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
-    need = like.overlap(n, m)
-    near = F.least(n - i, m - j) >= need
-    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) <= n + m - need * 2
-    return like.sizes(n, m) & near & few
+    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) * (like.den + like.num) <= (n + m) * (like.den - like.num)
+    near = F.least(n - i, m - j) >= like.overlap(n, m)
+    return few & like.sizes(n, m) & near
 
 
 def renamed(df: DataFrame, prefix: str, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns])
 
 
-def verified(pairs: DataFrame, lines: DataFrame, like: Similarity) -> DataFrame:
-    """The x lines of those pairs whose sets are as similar as asked."""
+def line_map(ids: DataFrame) -> DataFrame:
+    """One row, one array: a bit map of the lines' places, of a fixed size."""
+    at, one = spot()
+    return as_array(ids.select(at.alias("at"), one.alias("b")).groupBy("at").agg(F.bit_or("b").alias("b")), "at", "b", 1 << (MAP_BITS - 6), 0)
+
+
+def spot() -> tuple[Column, Column]:
+    h = F.xxhash64("doc", "line")
+    return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
+
+
+def verified(pairs: DataFrame, plain: DataFrame, places: DataFrame, like: Similarity) -> DataFrame:
+    """(x line, y line, similar) for the pairs: sets are made again for their lines alone."""
     ids = renamed_back(pairs, "x_").unionByName(renamed_back(pairs, "y_")).distinct()
-    spot = F.xxhash64("doc", "line")
-    word, bit = F.shiftrightunsigned(spot, 64 - MAP_BITS + 6).cast("int"), F.shiftrightunsigned(spot, 64 - MAP_BITS)
-    one = one_at(bit)
-    wanted = as_array(ids.select(word.alias("at"), one.alias("b")).groupBy("at").agg(F.bit_or("b").alias("b")), "at", "b", 1 << (MAP_BITS - 6), 0)
-    sets = lines.withColumn("map", wanted.scalar()).where(F.element_at("map", word + 1).bitwiseAND(one) != 0).select(*ID, "words")
-    sets = sets.join(ids, list(ID), "left_semi")
+    at, one = spot()
+    # The map only spares the other lines the work and the shuffle; the join decides.
+    some = plain.withColumn("map", line_map(ids).scalar()).where(F.get("map", at).bitwiseAND(one) != 0).drop("map")
+    sets = ranked(some, places).select(*ID, "words").join(ids, list(ID), "left_semi")
     both = pairs.join(renamed(sets, "x_", (*ID, "words")), [f"x_{c}" for c in ID]).join(renamed(sets, "y_", (*ID, "words")), [f"y_{c}" for c in ID])
     shared = F.size(F.array_intersect("x_words", "y_words"))
-    return renamed_back(both.where(shared >= like.overlap(F.col("x_n"), F.col("y_n"))), "x_").distinct()
+    return both.select(*[f"{p}_{c}" for p in "xy" for c in ID], (shared >= like.overlap(F.col("x_n"), F.col("y_n"))).alias("similar"))
 
 
 def renamed_back(df: DataFrame, prefix: str) -> DataFrame:
@@ -139,35 +155,60 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     A line goes if an earlier one, by document id and then line number, is as
     similar as asked. Lines without words are never compared.
 
-    Equal sets are reduced to their first line before anything is compared, with
-    partial aggregation, so a line in a third of all documents is one row. Then
-    each line is held against the first line of each word of its prefix, which
-    settles groups of near copies with one pair a line and word; only lines that
-    this leaves are joined with all earlier lines of their prefix words.
+    What later steps need of every line is written once, in a narrow table in
+    the shared folder. Equal sets are reduced to their first line before anything
+    is compared, with partial aggregation, so a line in a third of all documents
+    is one row. Then a line and word of its prefix is held against the first line
+    with that word; only where that one fails the filters, against all earlier
+    lines with the word. So groups of near copies cost a pair a line and word. A
+    line whose first pairs pass the filters but not the verification is joined
+    with all earlier lines in a second step.
     """
     plain = lines_of(docs, key, text)
     places = cut(rarity(plain))
     lines = ranked(plain, places)
-    first = F.min(F.struct("doc", "line")).alias("first")
     kept = F.slice("words", F.lit(1), like.prefix(F.col("n")))
-    sets = lines.withColumn("words", kept).groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("n", "sig", "words")])
-    sets = sets.select("h1", "h2", "first.doc", "first.line", "n", "sig", "words")
-    sets = cut(sets)
-    words = sets.select(*ID, F.posexplode("words").alias("pos", "word"))
+    narrow = stored(lines.select("doc", "line", "n", "sig", "h1", "h2", kept.alias("words")))
+    first = F.min(F.struct("doc", "line")).alias("first")
+    sets = narrow.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("n", "sig", "words")])
+    sets = sets.select("first.doc", "first.line", "n", "sig", "words")
+    words = sets.select(*ID, F.posexplode("words").alias("pos", "word")).repartition("word")
     by_word = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lead = words.withColumn("lead", F.first(F.struct(*ID, "pos")).over(by_word))
-    pairs = lead.select(*[F.col(c).alias(f"x_{c}") for c in (*ID, "pos")], *[F.col(f"lead.{c}").alias(f"y_{c}") for c in (*ID, "pos")])
+    led = lead.select(*[F.col(c).alias(f"x_{c}") for c in (*ID, "pos")], F.col("word").alias("x_word"), *[F.col(f"lead.{c}").alias(f"y_{c}") for c in (*ID, "pos")])
     later = (F.col("x_doc") > F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") > F.col("y_line")))
     only = [f"{p}_{c}" for p in "xy" for c in ID]
-    pairs = pairs.where(later & passing(like, "x_", "y_")).select(*only).distinct()
-    settled = cut(verified(cut(pairs), lines, like))
-    left = words.join(settled, list(ID), "left_anti")
-    rest = renamed(left, "x_", ("word", *ID, "pos")).join(renamed(words, "y_", ("word", *ID, "pos")), (F.col("x_word") == F.col("y_word")) & later & passing(like, "x_", "y_"))
-    settled = settled.unionByName(verified(cut(rest.select(*only).distinct()), lines, like))
-    gone = sets.join(settled.withColumn("gone", F.lit(True)), list(ID), "left").select("h1", "h2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.col("gone").isNotNull().alias("gone"))
-    judged = lines.select("doc", "line", "h1", "h2").join(gone, ["h1", "h2"])
-    judged = judged.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return judged.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    passes = passing(like, "x_", "y_")
+    others = renamed(words, "y_", ("word", *ID, "pos"))
+    x_side = [F.col(f"x_{c}") for c in (*ID, "pos", "word")]
+    firsts = led.where(later & passes).select(*only, F.lit(True).alias("by_first"))
+    rest = led.where(later & ~passes).select(*x_side).join(others, (F.col("x_word") == F.col("y_word")) & passes & later).select(*only, F.lit(False).alias("by_first"))
+    found = firsts.unionByName(rest).groupBy(*only).agg(F.max("by_first").alias("by_first"))
+    # Filters inferred for one use of the words would keep the other from sharing their shuffle.
+    pairs = stored(found, spark__sql__constraintPropagation__enabled="false")
+    judged = stored(verified(pairs.select(*only), plain, places, like).join(pairs, only))
+    settled = renamed_back(judged.where("similar"), "x_").distinct()
+    # Whose first pair wasn't similar after all: what it kept from being compared is made up for.
+    again = renamed_back(judged.where("by_first and not similar"), "x_").distinct().join(settled, list(ID), "left_anti")
+    again = stored(again)
+    if not again.isEmpty():
+        own = renamed(narrow.join(again, list(ID), "left_semi").distinct().select(*ID, F.posexplode("words").alias("pos", "word")), "x_", ("word", *ID, "pos"))
+        own = stored(own)
+        # The same kind of map, over words instead of lines, spares most of the other side.
+        wanted = line_map(own.select(F.col("x_word").alias("doc"), F.lit(0).alias("line"))).scalar()
+        at, one = spot()
+        marked = narrow.select(*ID, F.posexplode("words").alias("pos", "word")).select(F.struct(*ID, "pos", "word").alias("r"), F.col("word").alias("doc"), F.lit(0).alias("line"), wanted.alias("map"))
+        near = renamed(marked.where(F.get("map", at).bitwiseAND(one) != 0).select("r.*"), "y_", ("word", *ID, "pos"))
+        more = own.join(near, (F.col("x_word") == F.col("y_word")) & passes & later).select(*only).distinct()
+        more = stored(more.join(pairs, only, "left_anti"))
+        settled = settled.unionByName(renamed_back(verified(more, plain, places, like).where("similar"), "x_")).distinct()
+    flagged = narrow.select(*ID, "h1", "h2").join(settled.withColumn("gone", F.lit(True)), list(ID), "left")
+    groups = flagged.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.count("*").alias("rows"))
+    # Most sets have one line that stays: they need no second look.
+    groups = groups.where("gone or rows > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), "gone")
+    out = narrow.select("doc", "line", "h1", "h2").join(groups, ["h1", "h2"])
+    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
+    return stored(out.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity(), with_text: bool = True) -> DataFrame:
