@@ -186,10 +186,16 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     found = firsts.unionByName(rest).groupBy(*only).agg(F.max("by_first").alias("by_first"))
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
     pairs = stored(found, spark__sql__constraintPropagation__enabled="false")
-    judged = stored(verified(pairs.select(*only), plain, places, like).join(pairs, only))
-    settled = renamed_back(judged.where("similar"), "x_").distinct()
+    # One pair of each line first: most pass, and the line's other pairs needn't be looked at.
+    chosen = Window.partitionBy(*[f"x_{c}" for c in ID]).orderBy(F.desc("by_first"), "y_doc", "y_line")
+    ordered = pairs.withColumn("turn", F.row_number().over(chosen))
+    one = stored(verified(ordered.where("turn = 1").select(*only), plain, places, like))
+    sure = stored(renamed_back(one.where("similar"), "x_").distinct())
+    open_ = stored(ordered.where("turn > 1").join(renamed(sure, "x_", ID), [f"x_{c}" for c in ID], "left_anti").select(*only))
+    two = stored(verified(open_, plain, places, like))
+    settled = stored(sure.unionByName(renamed_back(two.where("similar"), "x_")).distinct())
     # Whose first pair wasn't similar after all: what it kept from being compared is made up for.
-    again = renamed_back(judged.where("by_first and not similar"), "x_").distinct().join(settled, list(ID), "left_anti")
+    again = renamed_back(pairs.where("by_first"), "x_").distinct().join(settled, list(ID), "left_anti")
     again = stored(again)
     if not again.isEmpty():
         own = renamed(narrow.join(again, list(ID), "left_semi").distinct().select(*ID, F.posexplode("words").alias("pos", "word")), "x_", ("word", *ID, "pos"))
