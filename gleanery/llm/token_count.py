@@ -75,6 +75,8 @@ def frequent_lengths(docs: DataFrame, model: str, text: str, fraction: float, mo
         sample.mapInArrow(leaders, "pretoken string, n long")
         .groupBy("pretoken")
         .agg(F.sum("n").alias("n"))
+        # So that at most eight tasks send their leading rows to the driver.
+        .coalesce(8)
         .orderBy(F.desc("n"), "pretoken")
         .limit(most)
         .collect()
