@@ -32,18 +32,24 @@ HOT_BUCKET = 200_000
 STEP = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits, as a signed number: a bit is 1 if over half the shingle hashes have it."""
+def shingles(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes (uint64) of all shingles in order; a shorter text is one shingle, one without words has none."""
     words = WORD.findall(text.encode().lower()) if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     width = min(shingle, len(words))
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     ends = (starts + sizes)[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends, strict=False)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends, strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, as a signed number: a bit is 1 if over half the hashes have it."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)
@@ -51,6 +57,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64 bits, as a signed number: a bit is 1 if over half the shingle hashes have it."""
+    return majority(shingles(text, shingle, seed))
+
+
 def add_fingerprints(docs: DataFrame, name: str, text: str = "text", shingle: int = 4) -> DataFrame:
     def make():
         return lambda texts: [[fingerprint(t, shingle) for t in texts]]
