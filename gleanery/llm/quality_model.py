@@ -22,6 +22,16 @@ DIGIT = re.compile(r"[0-9]")
 OTHER = re.compile(r"[^\w\s.,;:'-]")
 
 
+def variety(words: list[str], width: int = 200) -> float:
+    """Share of different words, as a mean over all windows of `width` words one after another; the last one ends with the text.
+
+    All windows are of one width, so longer texts get no lower value.
+    """
+    n = len(words)
+    starts = [*range(0, n - width, width), max(0, n - width)]
+    return sum(len(set(words[a : a + width])) / min(n, width) for a in starts) / len(starts)
+
+
 def features(text: str | None) -> list[float]:
     """Ratios that don't depend on the language; all 0 for a text without words but bias_short."""
     t = Text(text)
@@ -37,7 +47,7 @@ def features(text: str | None) -> list[float]:
         t.upper / max(1, t.letters),
         t.n_repeat_words / n,
         t.n_dup_lines / max(1, len(t.lines)),
-        len(set(w)) / n if n < 200 else len(set(w[:200])) / 200,
+        variety(w),
         sum(map(str.__eq__, w, w[1:])) / n,
         min(1.0, t.text.count("!") / n),
         min(1.0, t.text.count("|") / n),
