@@ -45,9 +45,30 @@ class Similarity:
         return (n * self.den >= m * self.num) & (m * self.den >= n * self.num)
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, s): all lines, lower-cased, with spaces for all blanks."""
-    lines = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(F.split(F.lower(F.col(f"`{text}`")), "\n")).alias("line", "s"))
+def doc_of(key: str) -> Column:
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc")
+
+
+def repeated_ids(docs: DataFrame, key: str) -> DataFrame:
+    """One row, one array: a bit map of the ids that several rows have, null ids included."""
+    again = docs.select(doc_of(key)).groupBy("doc").count().where("count > 1")
+    return cut(line_map(again.select("doc", F.lit(0).alias("line"))))
+
+
+def with_own(docs: DataFrame, key: str, text: str, repeated: DataFrame) -> DataFrame:
+    """docs with doc, and with own to tell rows of one id apart: a hash of the text where the map has the id, else 0.
+
+    That the map has other ids too does no harm; a 0 for most costs next to no disk.
+    """
+    at, one = spot("doc", F.lit(0))
+    marked = docs.withColumn("doc", doc_of(key)).withColumn("map", repeated.scalar())
+    return marked.withColumn("own", F.when(F.get("map", at).bitwiseAND(one) != 0, F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("long"))).drop("map")
+
+
+def lines_of(docs: DataFrame, key: str, text: str, repeated: DataFrame) -> DataFrame:
+    """(doc, own, line, s): all lines, lower-cased, with spaces for all blanks."""
+    plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    lines = with_own(plain, "key", "text", repeated).select("doc", "own", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "s"))
     # Few lines have other blanks, and looking for them is cheaper than rewriting all.
     other = reduce(lambda x, y: x | y, [F.contains("s", F.lit(c)) for c in OTHER_BLANKS])
     return lines.withColumn("s", F.when(other, F.translate("s", OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(F.col("s")))
@@ -81,7 +102,7 @@ def rarity(lines: DataFrame) -> DataFrame:
 
 
 def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, line, words, n, sig, h1, h2) of the lines with words.
+    """(doc, own, line, words, n, sig, h1, h2) of the lines with words.
 
     words has a number for each different word: the place of its hash's bucket,
     then the rest of the hash, so that numbers tell apart what hashes do and sort
@@ -91,17 +112,17 @@ def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
     """
     table = places.scalar()
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    out = lines.select("doc", "line", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("places", table)
+    out = lines.select("doc", "own", "line", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("places", table)
 
     def number(h: Column) -> Column:
         return F.shiftleft(F.get("places", bucket_of(h, RARITY_BITS)), 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
 
-    out = out.select("doc", "line", F.sort_array(F.transform("hashes", number)).alias("words"))
+    out = out.select("doc", "own", "line", F.sort_array(F.transform("hashes", number)).alias("words"))
     sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
-    return out.select("doc", "line", "words", F.size("words").alias("n"), sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
+    return out.select("doc", "own", "line", "words", F.size("words").alias("n"), sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
 
-ID = ("doc", "line", "n", "sig")
+ID = ("doc", "line", "own", "n", "sig")
 
 
 def passing(like: Similarity, x: str, y: str) -> Column:
@@ -128,8 +149,8 @@ def line_map(ids: DataFrame) -> DataFrame:
     return as_array(ids.select(at.alias("at"), one.alias("b")).groupBy("at").agg(F.bit_or("b").alias("b")), "at", "b", 1 << (MAP_BITS - 6), 0)
 
 
-def spot() -> tuple[Column, Column]:
-    h = F.xxhash64("doc", "line")
+def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]:
+    h = F.xxhash64(doc, line)
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
@@ -149,11 +170,11 @@ def renamed_back(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(prefix + c).alias(c) for c in ID])
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
-    """(doc, removed): the line numbers, from 0, that go from each document with some.
+def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
+    """(doc, own, removed): the line numbers, from 0, that go from each document with some.
 
-    A line goes if an earlier one, by document id and then line number, is as
-    similar as asked. Lines without words are never compared.
+    A line goes if an earlier one, by document id, line number and then own, is
+    as similar as asked. Lines without words are never compared.
 
     What later steps need of every line is written once, in a narrow table in
     the shared folder. Equal sets are reduced to their first line before anything
@@ -164,19 +185,20 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     line whose first pairs pass the filters but not the verification is joined
     with all earlier lines in a second step.
     """
-    plain = lines_of(docs, key, text)
+    plain = lines_of(docs, key, text, repeated)
     places = cut(rarity(plain))
     lines = ranked(plain, places)
     kept = F.slice("words", F.lit(1), like.prefix(F.col("n")))
-    narrow = stored(lines.select("doc", "line", "n", "sig", "h1", "h2", kept.alias("words")))
-    first = F.min(F.struct("doc", "line")).alias("first")
+    narrow = stored(lines.select("doc", "own", "line", "n", "sig", "h1", "h2", kept.alias("words")))
+    first = F.min(F.struct("doc", "line", "own")).alias("first")
     sets = narrow.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("n", "sig", "words")])
-    sets = sets.select("first.doc", "first.line", "n", "sig", "words")
+    sets = sets.select("first.doc", "first.line", "first.own", "n", "sig", "words")
     words = sets.select(*ID, F.posexplode("words").alias("pos", "word")).repartition("word")
-    by_word = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_word = Window.partitionBy("word").orderBy("doc", "line", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lead = words.withColumn("lead", F.first(F.struct(*ID, "pos")).over(by_word))
     led = lead.select(*[F.col(c).alias(f"x_{c}") for c in (*ID, "pos")], F.col("word").alias("x_word"), *[F.col(f"lead.{c}").alias(f"y_{c}") for c in (*ID, "pos")])
-    later = (F.col("x_doc") > F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") > F.col("y_line")))
+    same_id, same_line = F.col("x_doc") == F.col("y_doc"), F.col("x_line") == F.col("y_line")
+    later = (F.col("x_doc") > F.col("y_doc")) | (same_id & ((F.col("x_line") > F.col("y_line")) | (same_line & (F.col("x_own") > F.col("y_own")))))
     only = [f"{p}_{c}" for p in "xy" for c in ID]
     passes = passing(like, "x_", "y_")
     others = renamed(words, "y_", ("word", *ID, "pos"))
@@ -187,7 +209,7 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
     pairs = stored(found, spark__sql__constraintPropagation__enabled="false")
     # One pair of each line first: most pass, and the line's other pairs needn't be looked at.
-    chosen = Window.partitionBy(*[f"x_{c}" for c in ID]).orderBy(F.desc("by_first"), "y_doc", "y_line")
+    chosen = Window.partitionBy(*[f"x_{c}" for c in ID]).orderBy(F.desc("by_first"), "y_doc", "y_line", "y_own")
     ordered = pairs.withColumn("turn", F.row_number().over(chosen))
     one = stored(verified(ordered.where("turn = 1").select(*only), plain, places, like))
     sure = stored(renamed_back(one.where("similar"), "x_").distinct())
@@ -209,12 +231,12 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", li
         more = stored(more.join(pairs, only, "left_anti"))
         settled = settled.unionByName(renamed_back(verified(more, plain, places, like).where("similar"), "x_")).distinct()
     flagged = narrow.select(*ID, "h1", "h2").join(settled.withColumn("gone", F.lit(True)), list(ID), "left")
-    groups = flagged.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.count("*").alias("rows"))
+    groups = flagged.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "own")).alias("first"), F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.count("*").alias("rows"))
     # Most sets have one line that stays: they need no second look.
-    groups = groups.where("gone or rows > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), "gone")
-    out = narrow.select("doc", "line", "h1", "h2").join(groups, ["h1", "h2"])
-    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return stored(out.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    groups = groups.where("gone or rows > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.own").alias("first_own"), "gone")
+    out = narrow.select("doc", "own", "line", "h1", "h2").join(groups, ["h1", "h2"])
+    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")) | (F.col("own") != F.col("first_own")))
+    return stored(out.groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity(), with_text: bool = True) -> DataFrame:
@@ -225,15 +247,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like:
     are replaced; all others stay.
 
     A null text stays null with 0 lines; an empty one has one line without words,
-    which stays. Null ids count as the smallest. Lines equal in id and number (of
-    rows with equal ids) are one place: if neither has an earlier match, both stay.
+    which stays. Null ids count as the smallest. Rows with one id and different
+    texts are documents of their own; of their lines with one number, that of the
+    text with the smaller hash is earlier. Rows equal in id and text are one
+    document: the same lines go from each.
     """
     new = {"n_lines", "n_removed", "removed_lines"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     count = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n"))).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), count.alias("n_lines"))
+    repeated = repeated_ids(docs, key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), count.alias("n_lines"))
+    rows = with_own(rows, "key", "text", repeated).select("row", "doc", "own", "n_lines")
     none = F.array().cast("array<int>")
-    out = rows.join(duplicate_lines(docs, key, text, like), "doc", "left").select("row", "n_lines", F.coalesce("removed", none).alias("removed_lines"))
+    out = rows.join(duplicate_lines(docs, repeated, key, text, like), ["doc", "own"], "left").select("row", "n_lines", F.coalesce("removed", none).alias("removed_lines"))
     out = out.select("row.*", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
     if not with_text:
         return out
