@@ -115,7 +115,9 @@ def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
     out = lines.select("doc", "own", "line", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("places", table)
 
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get("places", bucket_of(h, RARITY_BITS)), 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+        # Longs have a sign: places count from the middle, or the commoner half would sort first.
+        place = F.get("places", bucket_of(h, RARITY_BITS)) - (1 << (RARITY_BITS - 1))
+        return F.shiftleft(place, 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
 
     out = out.select("doc", "own", "line", F.sort_array(F.transform("hashes", number)).alias("words"))
     sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
