@@ -64,3 +64,11 @@ def test_common_shingles_only_change_the_order(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert near_copies.keep_first_copy(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice(WORDS) for _ in range(50)) for _ in range(3))
+    rows = [(3, a), (3, b), (3, b), (4, b), (2, c), (3, c), (None, a)]
+    got = near_copies.keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(3, a), (3, b), (2, c), (-1, a)])
