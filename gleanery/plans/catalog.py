@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import models, scoring, text, understanding, vectors
 from gleanery.operators import assess, context, digest, evaluate, filters, fusion, graph, ingest, keyword, ranking, vector
 from gleanery.plans.search import Config, Engine
+from gleanery.session import cut
 from gleanery.sources.store import with_counts
 from gleanery.streaming import events as streams
 
@@ -292,6 +293,18 @@ def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     return assess.contradictions(c).select("chunk_id_a", "chunk_id_b", "confidence")
 
 
+def contradicted(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_contradictions) for every chunk: how many pairs of claims that can't both hold it has a part in."""
+    pairs = assess.contradictions(cut(assess.claims(chunks))).select(F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("id"))
+    counts = pairs.groupBy("id").agg(F.count("*").alias("n"))
+    return chunks.select("id").join(counts, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n_contradictions"))
+
+
+@query()
+def document_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return contradicted(chunks_(spark, d))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and customers as a graph; ids of the three kinds apart."""
     n, c = table(spark, d, "nation"), table(spark, d, "customer")
