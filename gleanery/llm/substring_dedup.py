@@ -267,8 +267,13 @@ def shared_windows(rows: list[np.ndarray], pieces: list[bytes], length: int) ->
     window = rank[begin[piece] + offset]
     at = start[piece] + offset
     by = np.lexsort((at, h[piece], d[piece], window))
+    window, place = window[by], (d[piece][by], h[piece][by], at[by])
+    first = np.ones(len(by), dtype=bool)
+    first[1:] = window[1:] != window[:-1]
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    # Rows equal in id and text give one place several times: that is no repeat of the row that stays.
     again = np.zeros(len(by), dtype=bool)
-    again[by[1:]] = window[by[1:]] == window[by[:-1]]
+    again[by] = ~first & ~np.logical_and.reduce([x == x[lead] for x in place])
     owner, low, high = runs(piece[again], at[again], at[again] + length)
     zero = np.zeros(len(owner), dtype=np.int64)
     return table([d[owner], h[owner], zero + REPEAT, low, high - low, zero], MARKS)
