@@ -66,6 +66,25 @@ def stored(df: DataFrame, **values: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one operator that go once its result is written."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.tables = df.sparkSession, []
+
+    def stored(self, df: DataFrame, **values: str) -> DataFrame:
+        self.tables.append(made := stored(df, **values))
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        for made in tables or list(self.tables):
+            self.tables = [x for x in self.tables if x is not made]
+            for file in made.inputFiles()[:1]:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` bytes of text each; a longer text is a run of its own."""
     if batch.num_rows == 0:

@@ -8,18 +8,20 @@ passes these filters is verified on the whole sets.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, stored
+from gleanery.llm.common import Scratch, cut, stored
 
 #: Blanks beside the space and the line feed.
 OTHER_BLANKS = "\t\x0b\x0c\r"
 #: Words are counted in so many buckets of their hash: enough to tell rare from common, and a fixed size to hand out.
-RARITY_BITS = 16
+RARITY_BITS = 18
 #: Bits of the map of lines to verify; it spares shuffling the others, and its size is fixed.
 MAP_BITS = 23
 #: What a null id counts as.
@@ -37,6 +39,10 @@ class Similarity:
         """Words of a set of n among which it shares one with any set similar to it."""
         return n - F.floor((n * self.num + self.den - 1) / self.den).cast("int") + 1
 
+    def head(self, n: Column) -> Column:
+        """Words at the front that signatures are made of: twice the prefix."""
+        return F.least(n, 2 * self.prefix(n))
+
     def overlap(self, n: Column, m: Column) -> Column:
         """Words that sets of n and m must share."""
         return F.floor(((n + m) * self.num + self.num + self.den - 1) / (self.num + self.den)).cast("int")
@@ -101,48 +107,51 @@ def rarity(lines: DataFrame) -> DataFrame:
     return as_array(ordered.select("x.bucket", F.col("place").cast("long").alias("place")), "bucket", "place", size, 0)
 
 
-def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
+def ranked(lines: DataFrame, places: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """(doc, own, line, words, n, sig, h1, h2) of the lines with words.
 
     words has a number for each different word: the place of its hash's bucket,
     then the rest of the hash, so that numbers tell apart what hashes do and sort
-    by rarity. sig has the parity of the words in each of 64 classes: two sets
-    differ in at least as many words as their signatures in bits. h1 and h2
-    stand for the set.
+    by rarity. sig has the parity of the head's words in each of 64 classes. h1
+    and h2 stand for the set.
     """
-    table = places.scalar()
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    out = lines.select("doc", "own", "line", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("places", table)
+    # Longs have a sign: places count from the middle, or the commoner half would sort first.
+    table = places.select(F.transform("a", lambda p: F.shiftleft(p.cast("long") - (1 << (RARITY_BITS - 1)), 64 - RARITY_BITS))).scalar()
 
     def number(h: Column) -> Column:
-        # Longs have a sign: places count from the middle, or the commoner half would sort first.
-        place = F.get("places", bucket_of(h, RARITY_BITS)) - (1 << (RARITY_BITS - 1))
-        return F.shiftleft(place, 64 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+        return F.get("places", bucket_of(h, RARITY_BITS)).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+
+    # A filter on what is made here would be moved down and make it twice.
+    some = with_words(lines).withColumn("places", table)
+    out = some.select("doc", "own", "line", F.sort_array(F.transform(hashes("s"), number)).alias("words")).select("*", F.size("words").alias("n"))
+    sig = F.aggregate(F.slice("words", F.lit(1), like.head(F.col("n"))), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
+    return out.select("*", sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
-    out = out.select("doc", "own", "line", F.sort_array(F.transform("hashes", number)).alias("words"))
-    sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
-    return out.select("doc", "own", "line", "words", F.size("words").alias("n"), sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
+def with_words(lines: DataFrame) -> DataFrame:
+    return lines.where(F.trim("s") != "")
 
-ID = ("doc", "line", "own", "n", "sig")
+
+def hashes(s: str) -> Column:
+    """Hashes of the different words of a line."""
+    every = F.transform(F.split(s, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(every), F.xxhash64(F.lit("")))
 
 
 def passing(like: Similarity, x: str, y: str) -> Column:
-    """Signature, length and positional filters on rows with a word in common at places x_pos and y_pos.
+    """Length, positional and signature filters on sets with a word in common at places x_pos and y_pos.
 
-    Sets as similar as asked differ in at most (n + m) (den - num) / (den + num)
-    words; the signature tells most others apart at once. The positional filter
-    may take the word as the first the two share: for the one that is the first,
-    it holds.
+    The positional filter may take the word as the first the two share: for the
+    one that is the first, it holds. Sets of n and m that share at least o words
+    share the first few of these within both heads, as at most n - o and m - o
+    other words come before; so the heads differ in few words, and their
+    signatures in no more bits.
     """
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
-    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) * (like.den + like.num) <= (n + m) * (like.den - like.num)
-    near = F.least(n - i, m - j) >= like.overlap(n, m)
-    return few & like.sizes(n, m) & near
-
-
-def renamed(df: DataFrame, prefix: str, columns: tuple[str, ...]) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in columns])
+    shared = like.overlap(n, m)
+    common = F.least(like.head(n) - n, like.head(m) - m) + shared
+    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) <= like.head(n) + like.head(m) - 2 * common
+    return like.sizes(n, m) & (F.least(n - i, m - j) >= shared) & few
 
 
 def line_map(ids: DataFrame) -> DataFrame:
@@ -156,20 +165,61 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
-def verified(pairs: DataFrame, plain: DataFrame, places: DataFrame, like: Similarity) -> DataFrame:
-    """(x line, y line, similar) for the pairs: sets are made again for their lines alone."""
-    ids = renamed_back(pairs, "x_").unionByName(renamed_back(pairs, "y_")).distinct()
-    at, one = spot()
-    # The map only spares the other lines the work and the shuffle; the join decides.
-    some = plain.withColumn("map", line_map(ids).scalar()).where(F.get("map", at).bitwiseAND(one) != 0).drop("map")
-    sets = ranked(some, places).select(*ID, "words").join(ids, list(ID), "left_semi")
-    both = pairs.join(renamed(sets, "x_", (*ID, "words")), [f"x_{c}" for c in ID]).join(renamed(sets, "y_", (*ID, "words")), [f"y_{c}" for c in ID])
-    shared = F.size(F.array_intersect("x_words", "y_words"))
-    return both.select(*[f"{p}_{c}" for p in "xy" for c in ID], (shared >= like.overlap(F.col("x_n"), F.col("y_n"))).alias("similar"))
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, read: Callable[[DataFrame], DataFrame], like: Similarity, scratch: Scratch) -> DataFrame:
+    """The ids x of pairs (x, y) of sets that are as similar as asked; whole sets are made again for their lines alone."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = scratch.stored(sets.select("id", "doc", "own", "line").join(ids, "id"))
+    # The maps only spare the other documents and lines the work and the shuffle; the join decides.
+    doc_at, doc_bit = spot("doc", F.lit(0))
+    doc_map = line_map(wanted.select("doc", F.lit(0).alias("line")).distinct()).scalar()
+    at, bit = spot()
+    some = docs.withColumn("map", doc_map).where(F.get("map", doc_at).bitwiseAND(doc_bit) != 0).drop("map")
+    lines = read(some).withColumn("map", line_map(wanted).scalar()).where(F.get("map", at).bitwiseAND(bit) != 0)
+    whole = with_words(lines).select("doc", "own", "line", hashes("s").alias("words")).join(wanted, ["doc", "own", "line"]).select("id", "words")
+    # Rows equal in id and text make equal sets.
+    whole = scratch.stored(whole.dropDuplicates(["id"]))
+    both = pairs.join(whole.select(F.col("id").alias("x"), F.col("words").alias("x_words")), "x").join(whole.select(F.col("id").alias("y"), F.col("words").alias("y_words")), "y")
+    enough = F.size(F.array_intersect("x_words", "y_words")) >= like.overlap(F.size("x_words"), F.size("y_words"))
+    return scratch.stored(both.where(enough).select(F.col("x").alias("id")).distinct())
+
+
+def first_lines(narrow: DataFrame) -> DataFrame:
+    """One row for each different set: its first line, how many lines have it, and an id in the order of the first lines."""
+    first = F.min(F.struct("doc", "line", "own")).alias("first")
+    sets = narrow.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
+    return sets.select("first.*", "h1", "h2", "rows", "n", "sig", "words").orderBy("doc", "line", "own").withColumn("id", F.monotonically_increasing_id())
+
 
+def prefix_words(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.select("id", "n", "sig", *more, F.posexplode("words").alias("pos", "word"))
 
-def renamed_back(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(prefix + c).alias(c) for c in ID])
+
+def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
+    """(x, y): for a set, the one of its leads that passes the filters for most words. A lead is the first set, among those of about its size, that has a word in its prefix.
+
+    Words after the place where sets of one size must have met are left out: this step only
+    settles groups of copies at a pair a line, all else is found later.
+    """
+    near = prefix_words(sets).where(F.col("n") - F.col("pos") >= like.overlap(F.col("n"), F.col("n")))
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(like.den / like.num)).alias("size")
+    before = Window.partitionBy("word", "size").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.first(F.struct("id", "n", "sig", "pos")).over(before).alias("lead")
+    led = near.select("*", size).select(*[F.col(c).alias(f"x_{c}") for c in SET], lead).select("*", *[F.col(f"lead.{c}").alias(f"y_{c}") for c in SET])
+    return led.where(F.col("x_id") > F.col("y_id")).where(passing(like, "x_", "y_")).groupBy(F.col("x_id").alias("x")).agg(F.mode("y_id", True).alias("y"))
+
+
+#: Columns of a set and a word of its prefix.
+SET = ("id", "n", "sig", "pos")
+
+
+def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
+    """(x, y): all pairs that pass the filters, with y before x, for each x that isn't settled."""
+    known = sets.select("id", "n", "sig", "words").join(settled.select("id", F.lit(False).alias("open")), "id", "left")
+    words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(True))), "open").repartition("word")
+    x, y = [words.select("word", *[F.col(c).alias(f"{p}_{c}") for c in (*SET, "open")]) for p in "xy"]
+    # Written so that no filter can be taken below the shuffle, which both sides share.
+    later = (F.col("x_id") > F.col("y_id")) & F.when(F.col("y_open").isNotNull(), F.col("x_open"))
+    return x.join(y, "word").where(later).where(passing(like, "x_", "y_")).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
@@ -178,67 +228,33 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     A line goes if an earlier one, by document id, line number and then own, is
     as similar as asked. Lines without words are never compared.
 
-    What later steps need of every line is written once, in a narrow table in
-    the shared folder. Equal sets are reduced to their first line before anything
-    is compared, with partial aggregation, so a line in a third of all documents
-    is one row. Then a line and word of its prefix is held against the first line
-    with that word; only where that one fails the filters, against all earlier
-    lines with the word. So groups of near copies cost a pair a line and word. A
-    line whose first pairs pass the filters but not the verification is joined
-    with all earlier lines in a second step.
+    What later steps need of every line is written once, in narrow tables in the
+    shared folder. Equal sets are reduced to their first line before anything is
+    compared, with partial aggregation, so a line in a third of all documents is
+    one row. A set is held against one lead first; groups of near copies are
+    settled so, at a pair a line. Sets that no lead settles are then joined with
+    all earlier ones that share a word of the prefix.
     """
-    plain = lines_of(docs, key, text, repeated)
-    places = cut(rarity(plain))
-    lines = ranked(plain, places)
-    kept = F.slice("words", F.lit(1), like.prefix(F.col("n")))
-    narrow = stored(lines.select("doc", "own", "line", "n", "sig", "h1", "h2", kept.alias("words")))
-    first = F.min(F.struct("doc", "line", "own")).alias("first")
-    sets = narrow.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("n", "sig", "words")])
-    sets = sets.select("first.doc", "first.line", "first.own", "n", "sig", "words")
-    words = sets.select(*ID, F.posexplode("words").alias("pos", "word")).repartition("word")
-    by_word = Window.partitionBy("word").orderBy("doc", "line", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = words.withColumn("lead", F.first(F.struct(*ID, "pos")).over(by_word))
-    led = lead.select(*[F.col(c).alias(f"x_{c}") for c in (*ID, "pos")], F.col("word").alias("x_word"), *[F.col(f"lead.{c}").alias(f"y_{c}") for c in (*ID, "pos")])
-    same_id, same_line = F.col("x_doc") == F.col("y_doc"), F.col("x_line") == F.col("y_line")
-    later = (F.col("x_doc") > F.col("y_doc")) | (same_id & ((F.col("x_line") > F.col("y_line")) | (same_line & (F.col("x_own") > F.col("y_own")))))
-    only = [f"{p}_{c}" for p in "xy" for c in ID]
-    passes = passing(like, "x_", "y_")
-    others = renamed(words, "y_", ("word", *ID, "pos"))
-    x_side = [F.col(f"x_{c}") for c in (*ID, "pos", "word")]
-    firsts = led.where(later & passes).select(*only, F.lit(True).alias("by_first"))
-    rest = led.where(later & ~passes).select(*x_side).join(others, (F.col("x_word") == F.col("y_word")) & passes & later).select(*only, F.lit(False).alias("by_first"))
-    found = firsts.unionByName(rest).groupBy(*only).agg(F.max("by_first").alias("by_first"))
+    scratch, read = Scratch(docs), lambda some: lines_of(some, "key", "text", repeated)
+    plain = docs.select(doc_of(key), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    places = cut(rarity(read(plain)))
+    prefix = F.slice("words", F.lit(1), like.prefix(F.col("n"))).alias("words")
+    wide = scratch.stored(ranked(read(plain), places, like).select("doc", "own", "line", "n", "sig", "h1", "h2", prefix))
+    sets = scratch.stored(first_lines(wide))
+    narrow = scratch.stored(wide.select("doc", "own", "line", "h1", "h2"))
+    scratch.drop(wide)
+    leads = scratch.stored(lead_pairs(sets, like))
+    settled = verified(leads, sets, plain, read, like, scratch)
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
-    pairs = stored(found, spark__sql__constraintPropagation__enabled="false")
-    # One pair of each line first: most pass, and the line's other pairs needn't be looked at.
-    chosen = Window.partitionBy(*[f"x_{c}" for c in ID]).orderBy(F.desc("by_first"), "y_doc", "y_line", "y_own")
-    ordered = pairs.withColumn("turn", F.row_number().over(chosen))
-    one = stored(verified(ordered.where("turn = 1").select(*only), plain, places, like))
-    sure = stored(renamed_back(one.where("similar"), "x_").distinct())
-    open_ = stored(ordered.where("turn > 1").join(renamed(sure, "x_", ID), [f"x_{c}" for c in ID], "left_anti").select(*only))
-    two = stored(verified(open_, plain, places, like))
-    settled = stored(sure.unionByName(renamed_back(two.where("similar"), "x_")).distinct())
-    # Whose first pair wasn't similar after all: what it kept from being compared is made up for.
-    again = renamed_back(pairs.where("by_first"), "x_").distinct().join(settled, list(ID), "left_anti")
-    again = stored(again)
-    if not again.isEmpty():
-        own = renamed(narrow.join(again, list(ID), "left_semi").distinct().select(*ID, F.posexplode("words").alias("pos", "word")), "x_", ("word", *ID, "pos"))
-        own = stored(own)
-        # The same kind of map, over words instead of lines, spares most of the other side.
-        wanted = line_map(own.select(F.col("x_word").alias("doc"), F.lit(0).alias("line"))).scalar()
-        at, one = spot()
-        marked = narrow.select(*ID, F.posexplode("words").alias("pos", "word")).select(F.struct(*ID, "pos", "word").alias("r"), F.col("word").alias("doc"), F.lit(0).alias("line"), wanted.alias("map"))
-        near = renamed(marked.where(F.get("map", at).bitwiseAND(one) != 0).select("r.*"), "y_", ("word", *ID, "pos"))
-        more = own.join(near, (F.col("x_word") == F.col("y_word")) & passes & later).select(*only).distinct()
-        more = stored(more.join(pairs, only, "left_anti"))
-        settled = settled.unionByName(renamed_back(verified(more, plain, places, like).where("similar"), "x_")).distinct()
-    flagged = narrow.select(*ID, "h1", "h2").join(settled.withColumn("gone", F.lit(True)), list(ID), "left")
-    groups = flagged.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "own")).alias("first"), F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.count("*").alias("rows"))
-    # Most sets have one line that stays: they need no second look.
-    groups = groups.where("gone or rows > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.own").alias("first_own"), "gone")
-    out = narrow.select("doc", "own", "line", "h1", "h2").join(groups, ["h1", "h2"])
-    out = out.where(F.col("gone") | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")) | (F.col("own") != F.col("first_own")))
-    return stored(out.groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    others = scratch.stored(other_pairs(sets, settled, like), spark__sql__constraintPropagation__enabled="false")
+    gone = settled.unionByName(verified(others, sets, plain, read, like, scratch)).withColumn("gone", F.lit(True))
+    groups = sets.select("id", "h1", "h2", "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc", "own", "line")]).join(gone, "id", "left")
+    # Most sets have one line, and it stays: they need no second look.
+    groups = groups.where("gone or rows > 1").drop("id", "rows")
+    out = narrow.join(groups, ["h1", "h2"]).where("gone or doc <> first_doc or line <> first_line or own <> first_own")
+    result = stored(out.groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    scratch.drop()
+    return result
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity(), with_text: bool = True) -> DataFrame:
