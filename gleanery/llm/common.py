@@ -55,14 +55,15 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, **values: str) -> DataFrame:
+def stored(df: DataFrame, options: dict[str, str] | None = None, **values: str) -> DataFrame:
     """df as a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column.
 
-    Its shuffle files go when it is written. values are settings while it runs.
+    Its shuffle files go when it is written. options are the writer's, values
+    settings while it runs.
     """
     spark, path = df.sparkSession, f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **values):
-        df.select("*").write.parquet(path)
+        df.select("*").write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,8 +73,8 @@ class Scratch:
     def __init__(self, df: DataFrame):
         self.spark, self.tables = df.sparkSession, []
 
-    def stored(self, df: DataFrame, **values: str) -> DataFrame:
-        self.tables.append(made := stored(df, **values))
+    def stored(self, df: DataFrame, options: dict[str, str] | None = None, **values: str) -> DataFrame:
+        self.tables.append(made := stored(df, options, **values))
         return made
 
     def drop(self, *tables: DataFrame) -> None:

@@ -9,7 +9,6 @@ passes these filters is verified on the whole sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -96,24 +95,37 @@ def as_array(df: DataFrame, at: str, value: str, size: int, default: int) -> Dat
     return full.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))
 
 
+def hashed(lines: DataFrame) -> DataFrame:
+    """(doc, own, line, words, h1, h2) of the lines with words: the sorted hashes of the different words, and two hashes that stand for the set."""
+    every = F.transform(F.split("s", " "), lambda w: F.xxhash64(w))
+    words = F.sort_array(F.array_remove(F.array_distinct(every), F.xxhash64(F.lit(""))))
+    # The filter is on the line: one on the words would be moved down and make them twice.
+    sets = lines.where(F.trim("s") != "").select("doc", "own", "line", words.alias("words"))
+    return sets.select("*", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
+
+
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket of words its place from the rarest to the most common, over the whole corpus."""
+    return word_places(hashed(lines))
+
+
+def word_places(sets: DataFrame) -> DataFrame:
+    """One row: for each bucket of words its place from the rarest to the most common, by the lines of the whole corpus that have one."""
     size = 1 << RARITY_BITS
-    words = lines.select(F.explode(F.split("s", " ")).alias("w")).where("w <> ''")
-    counted = words.groupBy(bucket_of(F.xxhash64("w"), RARITY_BITS).alias("bucket")).agg(F.count("*").alias("n"))
-    grid = lines.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
+    counted = sets.select(F.explode("words").alias("h")).groupBy(bucket_of(F.col("h"), RARITY_BITS).alias("bucket")).agg(F.count("*").alias("n"))
+    grid = sets.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     full = grid.join(F.broadcast(counted), "bucket", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bucket").alias("x"))
     ordered = full.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.posexplode("x").alias("place", "x"))
     return as_array(ordered.select("x.bucket", F.col("place").cast("long").alias("place")), "bucket", "place", size, 0)
 
 
-def ranked(lines: DataFrame, places: DataFrame, like: Similarity = Similarity()) -> DataFrame:
-    """(doc, own, line, words, n, sig, h1, h2) of the lines with words.
+def ranked(lines: DataFrame, places: DataFrame) -> DataFrame:
+    return by_rarity(hashed(lines), places)
+
 
-    words has a number for each different word: the place of its hash's bucket,
-    then the rest of the hash, so that numbers tell apart what hashes do and sort
-    by rarity. sig has the parity of the head's words in each of 64 classes. h1
-    and h2 stand for the set.
+def by_rarity(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """sets with their words numbered anew and sorted: the place of the hash's bucket, then the rest of the hash.
+
+    Numbers tell apart what hashes do and sort by rarity, the rarest first.
     """
     # Longs have a sign: places count from the middle, or the commoner half would sort first.
     table = places.select(F.transform("a", lambda p: F.shiftleft(p.cast("long") - (1 << (RARITY_BITS - 1)), 64 - RARITY_BITS))).scalar()
@@ -121,21 +133,17 @@ def ranked(lines: DataFrame, places: DataFrame, like: Similarity = Similarity())
     def number(h: Column) -> Column:
         return F.get("places", bucket_of(h, RARITY_BITS)).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
 
-    # A filter on what is made here would be moved down and make it twice.
-    some = with_words(lines).withColumn("places", table)
-    out = some.select("doc", "own", "line", F.sort_array(F.transform(hashes("s"), number)).alias("words")).select("*", F.size("words").alias("n"))
-    sig = F.aggregate(F.slice("words", F.lit(1), like.head(F.col("n"))), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
-    return out.select("*", sig.alias("sig"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-
+    rest = [c for c in sets.columns if c != "words"]
+    return sets.withColumn("places", table).select(*rest, F.sort_array(F.transform("words", number)).alias("words"))
 
-def with_words(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("s") != "")
 
-
-def hashes(s: str) -> Column:
-    """Hashes of the different words of a line."""
-    every = F.transform(F.split(s, " "), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(every), F.xxhash64(F.lit("")))
+def described(sets: DataFrame, like: Similarity) -> DataFrame:
+    """(doc, own, line, h1, h2, n, sig, words): words stands for the prefix, sig has the parity of the head's words in each of 64 classes."""
+    n = F.size("words").alias("n")
+    sig = F.aggregate(F.slice("words", F.lit(1), like.head(F.col("n"))), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
+    # Half of a number is enough to meet by.
+    prefix = F.transform(F.slice("words", F.lit(1), like.prefix(F.col("n"))), lambda w: F.hash(w))
+    return sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig.alias("sig"), prefix.alias("words"))
 
 
 def passing(like: Similarity, x: str, y: str) -> Column:
@@ -165,28 +173,26 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, read: Callable[[DataFrame], DataFrame], like: Similarity, scratch: Scratch) -> DataFrame:
-    """The ids x of pairs (x, y) of sets that are as similar as asked; whole sets are made again for their lines alone."""
+def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similarity, scratch: Scratch) -> DataFrame:
+    """The ids x of pairs (x, y) of sets that are as similar as asked, by the whole sets."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = scratch.stored(sets.select("id", "doc", "own", "line").join(ids, "id"))
-    # The maps only spare the other documents and lines the work and the shuffle; the join decides.
-    doc_at, doc_bit = spot("doc", F.lit(0))
-    doc_map = line_map(wanted.select("doc", F.lit(0).alias("line")).distinct()).scalar()
+    # The map only spares the other lines the shuffle; the join decides.
     at, bit = spot()
-    some = docs.withColumn("map", doc_map).where(F.get("map", doc_at).bitwiseAND(doc_bit) != 0).drop("map")
-    lines = read(some).withColumn("map", line_map(wanted).scalar()).where(F.get("map", at).bitwiseAND(bit) != 0)
-    whole = with_words(lines).select("doc", "own", "line", hashes("s").alias("words")).join(wanted, ["doc", "own", "line"]).select("id", "words")
+    some = lines.select("doc", "own", "line", "words").withColumn("map", line_map(wanted).scalar()).where(F.get("map", at).bitwiseAND(bit) != 0)
     # Rows equal in id and text make equal sets.
-    whole = scratch.stored(whole.dropDuplicates(["id"]))
+    whole = scratch.stored(some.join(wanted, ["doc", "own", "line"]).select("id", "words").dropDuplicates(["id"]))
     both = pairs.join(whole.select(F.col("id").alias("x"), F.col("words").alias("x_words")), "x").join(whole.select(F.col("id").alias("y"), F.col("words").alias("y_words")), "y")
     enough = F.size(F.array_intersect("x_words", "y_words")) >= like.overlap(F.size("x_words"), F.size("y_words"))
-    return scratch.stored(both.where(enough).select(F.col("x").alias("id")).distinct())
+    found = scratch.stored(both.where(enough).select(F.col("x").alias("id")).distinct())
+    scratch.drop(whole)
+    return found
 
 
-def first_lines(narrow: DataFrame) -> DataFrame:
+def first_lines(lines: DataFrame) -> DataFrame:
     """One row for each different set: its first line, how many lines have it, and an id in the order of the first lines."""
     first = F.min(F.struct("doc", "line", "own")).alias("first")
-    sets = narrow.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
+    sets = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
     return sets.select("first.*", "h1", "h2", "rows", "n", "sig", "words").orderBy("doc", "line", "own").withColumn("id", F.monotonically_increasing_id())
 
 
@@ -214,11 +220,11 @@ SET = ("id", "n", "sig", "pos")
 
 def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): all pairs that pass the filters, with y before x, for each x that isn't settled."""
-    known = sets.select("id", "n", "sig", "words").join(settled.select("id", F.lit(False).alias("open")), "id", "left")
-    words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(True))), "open").repartition("word")
+    known = sets.select("id", "n", "sig", "words").join(settled.select("id", F.lit(0).alias("open")), "id", "left")
+    words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(1))), "open").repartition("word")
     x, y = [words.select("word", *[F.col(c).alias(f"{p}_{c}") for c in (*SET, "open")]) for p in "xy"]
     # Written so that no filter can be taken below the shuffle, which both sides share.
-    later = (F.col("x_id") > F.col("y_id")) & F.when(F.col("y_open").isNotNull(), F.col("x_open"))
+    later = (F.col("x_id") > F.col("y_id")) & (F.col("x_open") > F.col("y_open") * 0)
     return x.join(y, "word").where(later).where(passing(like, "x_", "y_")).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
@@ -228,30 +234,27 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     A line goes if an earlier one, by document id, line number and then own, is
     as similar as asked. Lines without words are never compared.
 
-    What later steps need of every line is written once, in narrow tables in the
-    shared folder. Equal sets are reduced to their first line before anything is
-    compared, with partial aggregation, so a line in a third of all documents is
-    one row. A set is held against one lead first; groups of near copies are
-    settled so, at a pair a line. Sets that no lead settles are then joined with
-    all earlier ones that share a word of the prefix.
+    The set of every line is written once to the shared folder, and read from
+    there by all that follows. Equal sets are reduced to their first line before
+    anything is compared, with partial aggregation, so a line in a third of all
+    documents is one row. A set is held against one lead first; groups of near
+    copies are settled so, at a pair a line. Sets that no lead settles are then
+    joined with all earlier ones that share a word of the prefix.
     """
-    scratch, read = Scratch(docs), lambda some: lines_of(some, "key", "text", repeated)
-    plain = docs.select(doc_of(key), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    places = cut(rarity(read(plain)))
-    prefix = F.slice("words", F.lit(1), like.prefix(F.col("n"))).alias("words")
-    wide = scratch.stored(ranked(read(plain), places, like).select("doc", "own", "line", "n", "sig", "h1", "h2", prefix))
-    sets = scratch.stored(first_lines(wide))
-    narrow = scratch.stored(wide.select("doc", "own", "line", "h1", "h2"))
-    scratch.drop(wide)
+    scratch = Scratch(docs)
+    # Words repeat, so a dictionary large enough makes the table half as large.
+    lines = scratch.stored(hashed(lines_of(docs, key, text, repeated)), {"parquet.dictionary.page.size": str(8 << 20)})
+    places = cut(word_places(lines))
+    sets = scratch.stored(first_lines(described(by_rarity(lines, places), like)))
     leads = scratch.stored(lead_pairs(sets, like))
-    settled = verified(leads, sets, plain, read, like, scratch)
+    settled = verified(leads, sets, lines, like, scratch)
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
     others = scratch.stored(other_pairs(sets, settled, like), spark__sql__constraintPropagation__enabled="false")
-    gone = settled.unionByName(verified(others, sets, plain, read, like, scratch)).withColumn("gone", F.lit(True))
+    gone = settled.unionByName(verified(others, sets, lines, like, scratch)).withColumn("gone", F.lit(True))
     groups = sets.select("id", "h1", "h2", "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc", "own", "line")]).join(gone, "id", "left")
     # Most sets have one line, and it stays: they need no second look.
     groups = groups.where("gone or rows > 1").drop("id", "rows")
-    out = narrow.join(groups, ["h1", "h2"]).where("gone or doc <> first_doc or line <> first_line or own <> first_own")
+    out = lines.select("doc", "own", "line", "h1", "h2").join(groups, ["h1", "h2"]).where("gone or doc <> first_doc or line <> first_line or own <> first_own")
     result = stored(out.groupBy("doc", "own").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     scratch.drop()
     return result
