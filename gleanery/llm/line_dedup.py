@@ -38,10 +38,6 @@ class Similarity:
         """Words of a set of n among which it shares one with any set similar to it."""
         return n - F.floor((n * self.num + self.den - 1) / self.den).cast("int") + 1
 
-    def head(self, n: Column) -> Column:
-        """Words at the front that signatures are made of: twice the prefix."""
-        return F.least(n, 2 * self.prefix(n))
-
     def overlap(self, n: Column, m: Column) -> Column:
         """Words that sets of n and m must share."""
         return F.floor(((n + m) * self.num + self.num + self.den - 1) / (self.num + self.den)).cast("int")
@@ -138,9 +134,10 @@ def by_rarity(sets: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def described(sets: DataFrame, like: Similarity) -> DataFrame:
-    """(doc, own, line, h1, h2, n, sig, words): words stands for the prefix, sig has the parity of the head's words in each of 64 classes."""
+    """(doc, own, line, h1, h2, n, sig, words): words stands for the prefix, sig has the parity of the words in each of 64 classes."""
     n = F.size("words").alias("n")
-    sig = F.aggregate(F.slice("words", F.lit(1), like.head(F.col("n"))), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(one_at(w)))
+    # Shifts go by the last six bits of a number.
+    sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w))))
     # Half of a number is enough to meet by.
     prefix = F.transform(F.slice("words", F.lit(1), like.prefix(F.col("n"))), lambda w: F.hash(w))
     return sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig.alias("sig"), prefix.alias("words"))
@@ -150,16 +147,13 @@ def passing(like: Similarity, x: str, y: str) -> Column:
     """Length, positional and signature filters on sets with a word in common at places x_pos and y_pos.
 
     The positional filter may take the word as the first the two share: for the
-    one that is the first, it holds. Sets of n and m that share at least o words
-    share the first few of these within both heads, as at most n - o and m - o
-    other words come before; so the heads differ in few words, and their
-    signatures in no more bits.
+    one that is the first, it holds. Sets differ in at least as many words as
+    their signatures in bits.
     """
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
     shared = like.overlap(n, m)
-    common = F.least(like.head(n) - n, like.head(m) - m) + shared
-    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) <= like.head(n) + like.head(m) - 2 * common
-    return like.sizes(n, m) & (F.least(n - i, m - j) >= shared) & few
+    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) <= n + m - 2 * shared
+    return like.sizes(n, m) & few & (F.least(n - i, m - j) >= shared)
 
 
 def line_map(ids: DataFrame) -> DataFrame:
@@ -173,15 +167,15 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similarity, scratch: Scratch) -> DataFrame:
-    """The ids x of pairs (x, y) of sets that are as similar as asked, by the whole sets."""
+def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similarity, scratch: Scratch, twice: bool) -> DataFrame:
+    """The ids x of pairs (x, y) of sets that are as similar as asked, by the whole sets. twice: whether a line may be there more than once."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = scratch.stored(sets.select("id", "doc", "own", "line").join(ids, "id"))
     # The map only spares the other lines the shuffle; the join decides.
     at, bit = spot()
     some = lines.select("doc", "own", "line", "words").withColumn("map", line_map(wanted).scalar()).where(F.get("map", at).bitwiseAND(bit) != 0)
-    # Rows equal in id and text make equal sets.
-    whole = scratch.stored(some.join(wanted, ["doc", "own", "line"]).select("id", "words").dropDuplicates(["id"]))
+    whole = some.join(wanted, ["doc", "own", "line"]).select("id", "words")
+    whole = scratch.stored(whole.dropDuplicates(["id"]) if twice else whole)
     both = pairs.join(whole.select(F.col("id").alias("x"), F.col("words").alias("x_words")), "x").join(whole.select(F.col("id").alias("y"), F.col("words").alias("y_words")), "y")
     enough = F.size(F.array_intersect("x_words", "y_words")) >= like.overlap(F.size("x_words"), F.size("y_words"))
     found = scratch.stored(both.where(enough).select(F.col("x").alias("id")).distinct())
@@ -200,13 +194,18 @@ def prefix_words(sets: DataFrame, *more: str) -> DataFrame:
     return sets.select("id", "n", "sig", *more, F.posexplode("words").alias("pos", "word"))
 
 
+def at_front(like: Similarity) -> Column:
+    """Whether a word is among those of which a set shares one with any similar set that isn't smaller."""
+    return F.col("n") - F.col("pos") >= like.overlap(F.col("n"), F.col("n"))
+
+
 def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): for a set, the one of its leads that passes the filters for most words. A lead is the first set, among those of about its size, that has a word in its prefix.
 
     Words after the place where sets of one size must have met are left out: this step only
     settles groups of copies at a pair a line, all else is found later.
     """
-    near = prefix_words(sets).where(F.col("n") - F.col("pos") >= like.overlap(F.col("n"), F.col("n")))
+    near = prefix_words(sets).where(at_front(like))
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(like.den / like.num)).alias("size")
     before = Window.partitionBy("word", "size").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lead = F.first(F.struct("id", "n", "sig", "pos")).over(before).alias("lead")
@@ -220,12 +219,16 @@ SET = ("id", "n", "sig", "pos")
 
 def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): all pairs that pass the filters, with y before x, for each x that isn't settled."""
+    # Pairs are met with the smaller set first, whichever comes later.
     known = sets.select("id", "n", "sig", "words").join(settled.select("id", F.lit(0).alias("open")), "id", "left")
     words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(1))), "open").repartition("word")
-    x, y = [words.select("word", *[F.col(c).alias(f"{p}_{c}") for c in (*SET, "open")]) for p in "xy"]
-    # Written so that no filter can be taken below the shuffle, which both sides share.
-    later = (F.col("x_id") > F.col("y_id")) & (F.col("x_open") > F.col("y_open") * 0)
-    return x.join(y, "word").where(later).where(passing(like, "x_", "y_")).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+    # The smaller set, or the earlier of two of one size, has its word near the front. Said so that it isn't done before the shuffle, which both sides share.
+    near = words.where(F.when(F.spark_partition_id() >= 0, at_front(like)))
+    x, y = [df.select("word", *[F.col(c).alias(f"{p}_{c}") for c in (*SET, "open")]) for p, df in (("x", near), ("y", words))]
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    asked = F.when(F.col("x_id") > F.col("y_id"), F.col("x_open")).otherwise(F.col("y_open")) == 1
+    found = x.join(y, "word").where(smaller).where(asked).where(passing(like, "x_", "y_"))
+    return found.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
@@ -243,14 +246,15 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     """
     scratch = Scratch(docs)
     # Words repeat, so a dictionary large enough makes the table half as large.
-    lines = scratch.stored(hashed(lines_of(docs, key, text, repeated)), {"parquet.dictionary.page.size": str(8 << 20)})
+    lines = scratch.stored(hashed(lines_of(docs, key, text, repeated)), {"parquet.dictionary.page.size": str(8 << 20), "compression": "none"})
+    twice = not repeated.where("exists(a, x -> x <> 0)").isEmpty()
     places = cut(word_places(lines))
     sets = scratch.stored(first_lines(described(by_rarity(lines, places), like)))
     leads = scratch.stored(lead_pairs(sets, like))
-    settled = verified(leads, sets, lines, like, scratch)
+    settled = verified(leads, sets, lines, like, scratch, twice)
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
     others = scratch.stored(other_pairs(sets, settled, like), spark__sql__constraintPropagation__enabled="false")
-    gone = settled.unionByName(verified(others, sets, lines, like, scratch)).withColumn("gone", F.lit(True))
+    gone = settled.unionByName(verified(others, sets, lines, like, scratch, twice)).withColumn("gone", F.lit(True))
     groups = sets.select("id", "h1", "h2", "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc", "own", "line")]).join(gone, "id", "left")
     # Most sets have one line, and it stays: they need no second look.
     groups = groups.where("gone or rows > 1").drop("id", "rows")
