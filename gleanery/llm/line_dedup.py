@@ -23,6 +23,8 @@ OTHER_BLANKS = "\t\x0b\x0c\r"
 RARITY_BITS = 18
 #: Bits of the map of lines to verify; it spares shuffling the others, and its size is fixed.
 MAP_BITS = 23
+#: Rare words of a set that it is held against leads by.
+LEAD_WORDS = 4
 #: What a null id counts as.
 NO_ID = -(1 << 63)
 
@@ -167,8 +169,26 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
+def likely(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs whose prefixes share enough words.
+
+    Of sets of n and m that share at least o words, the first of these come
+    after at most n - o and m - o other words; as many as fit into both prefixes
+    are in both. Words count as equal if their halves are, so none is missed.
+    """
+    side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("words").alias(f"{p}_words"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    n, m = F.col("x_n"), F.col("y_n")
+    shared = like.overlap(n, m)
+    least = F.least(like.prefix(n) - n, like.prefix(m) - m) + shared
+    # Two words of a set may have one half; then it counts for both.
+    alike = F.size(F.array_intersect("x_words", "y_words")) + F.size("x_words") - F.size(F.array_distinct("x_words"))
+    return both.where(alike >= least).select("x", "y")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similarity, scratch: Scratch, twice: bool) -> DataFrame:
     """The ids x of pairs (x, y) of sets that are as similar as asked, by the whole sets. twice: whether a line may be there more than once."""
+    pairs = scratch.stored(likely(pairs, sets, like))
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = scratch.stored(sets.select("id", "doc", "own", "line").join(ids, "id"))
     # The map only spares the other lines the shuffle; the join decides.
@@ -202,10 +222,10 @@ def at_front(like: Similarity) -> Column:
 def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): for a set, the one of its leads that passes the filters for most words. A lead is the first set, among those of about its size, that has a word in its prefix.
 
-    Words after the place where sets of one size must have met are left out: this step only
-    settles groups of copies at a pair a line, all else is found later.
+    This step settles groups of copies at a pair a line, and a few words of each
+    set are enough for that; all else is found later.
     """
-    near = prefix_words(sets).where(at_front(like))
+    near = prefix_words(sets).where(at_front(like) & (F.col("pos") < LEAD_WORDS))
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(like.den / like.num)).alias("size")
     before = Window.partitionBy("word", "size").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lead = F.first(F.struct("id", "n", "sig", "pos")).over(before).alias("lead")
@@ -224,10 +244,11 @@ def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFr
     words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(1))), "open").repartition("word")
     # The smaller set, or the earlier of two of one size, has its word near the front. Said so that it isn't done before the shuffle, which both sides share.
     near = words.where(F.when(F.spark_partition_id() >= 0, at_front(like)))
-    x, y = [df.select("word", *[F.col(c).alias(f"{p}_{c}") for c in (*SET, "open")]) for p, df in (("x", near), ("y", words))]
-    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    x, y = [df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("word", *SET, "open")]) for p, df in (("x", near), ("y", words))]
+    # What most pairs fail comes first.
+    smaller = (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") * like.den >= F.col("y_n") * like.num) & ((F.col("x_n") < F.col("y_n")) | (F.col("x_id") < F.col("y_id")))
     asked = F.when(F.col("x_id") > F.col("y_id"), F.col("x_open")).otherwise(F.col("y_open")) == 1
-    found = x.join(y, "word").where(smaller).where(asked).where(passing(like, "x_", "y_"))
+    found = x.join(y, (F.col("x_word") == F.col("y_word")) & smaller & passing(like, "x_", "y_") & asked)
     return found.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct()
 
 
