@@ -53,21 +53,33 @@ def scan_marks(docs: list[list[bytes]], tests: TestSet) -> tuple[np.ndarray, dic
     if len(starts):
         padded = np.concatenate([ids, np.zeros(tests.longest, dtype=np.int64)])
         array = suffix_array(ids, starts, tests.longest)
-        for depth, query, low, high in search(padded, array, tests):
-            deep = tests.window[query] <= depth
-            query, low, high = query[deep], low[deep], high[deep]
-            at, which = spread(low, high)
-            np.maximum.at(longest, of[array[at]], depth)
-            whole = tests.window[query[which]] == depth
-            begin, item = array[at[whole]], tests.item[tests.starts[query[which[whole]]]]
+        for depth, query, low, high, below in search(padded, array, tests):
+            # Suffixes that agree so far share a range: one look at it is enough.
+            whole = tests.window[query] == depth
+            rank, which = np.unique(low[whole], return_inverse=True)
+            at, part = spread(rank, high[whole][first_of(which)])
+            begin = array[at]
             np.add.at(marks, begin, 1)
             np.add.at(marks, begin + depth, -1)
-            for d, i in set(zip(of[begin].tolist(), item.tolist(), strict=True)):
-                items.setdefault(d, set()).add(i)
+            by_range: list[set[int]] = [set() for _ in rank]
+            for r, i in zip(which.tolist(), tests.item[tests.starts[query[whole]]].tolist(), strict=True):
+                by_range[r].add(i)
+            for d, r in np.unique(np.stack([of[begin], part], axis=1), axis=0).tolist():
+                items.setdefault(d, set()).update(by_range[r])
+            # Occurrences that go no deeper end here, at both edges of what does.
+            deep = tests.window[query] <= depth
+            edges = np.concatenate([np.stack([low, below[0]], axis=1)[deep], np.stack([below[1], high], axis=1)[deep]])
+            at, _ = spread(*np.unique(edges[edges[:, 0] < edges[:, 1]], axis=0).T)
+            longest[of[array[at]]] = depth
     hits = np.cumsum(marks[:-1]) > 0
     return hits, items, longest
 
 
+def first_of(which: np.ndarray) -> np.ndarray:
+    """The first place of each number from 0 on."""
+    return np.unique(which, return_index=True)[1]
+
+
 def test_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list:
     """The benchmark in broadcast blocks of a checked size: as many blocks as it takes."""
     context, blocks, block, size = benchmark.sparkSession.sparkContext, [], [], 0

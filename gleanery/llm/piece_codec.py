@@ -15,7 +15,7 @@ keeps the edge whose piece may follow the last piece at its start.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from types import SimpleNamespace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.common import INT, fields, map_texts
-from gleanery.llm.suffixes import search, spread, suffix_array
+from gleanery.llm.suffixes import Patterns, packed_keys, sort_suffixes, spread
 from gleanery.llm.token_count import SPACE, check_model, pretokens
 
 NEVER = np.iinfo(np.int64).max
+#: Bits of the tables of fixed size that pairs of pieces are looked up in.
+SLOT_BITS = 20
 
 
 class Pieces:
@@ -61,15 +63,18 @@ class Pieces:
                     joins[a * (self.size + 1) + b] = rank[i]
         self.join_keys = np.array(sorted(joins), dtype=np.int64)
         self.join_ranks = np.array([joins[k] for k in sorted(joins)], dtype=np.int64)
+        self.joined = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.joined[self.slots(self.join_keys)] = True
+        self.asked, self.answers = np.full(1 << SLOT_BITS, -1, dtype=np.int64), np.zeros(1 << SLOT_BITS, dtype=bool)
         characters = sorted({c for p in text.values() for c in p})
-        self.codes = np.array([ord(c) for c in characters], dtype=np.int64)
+        self.codes = np.array([ord(c) for c in characters], dtype=np.uint32)
         code = {c: i + 1 for i, c in enumerate(characters)}
         lengths = np.array([len(text[i]) for i in usable], dtype=np.int64)
         words = np.array([code[c] for i in usable for c in text[i]], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
-        left = np.repeat(starts + lengths, lengths) - np.arange(len(words))
-        self.queries = SimpleNamespace(words=words, starts=starts, left=left, longest=int(lengths.max(initial=1)))
-        self.usable, self.lengths = np.array(usable, dtype=np.int64), lengths
+        self.bits = max(1, len(characters).bit_length())
+        self.patterns = Patterns(words, starts, lengths, self.bits)
+        self.usable, self.lengths = np.array(usable, dtype=np.int32), lengths.astype(np.int32)
         self.bytes = np.array([processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
 
     @staticmethod
@@ -86,17 +91,36 @@ class Pieces:
         return last if -1 not in last else None
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the text of a and b together leaves exactly a and b.
+        """Whether merging the text of a and b together leaves exactly a and b. Remembers what was asked, an answer a slot."""
+        key = a.astype(np.int64) * (self.size + 1) + b
+        slot = self.slots(key)
+        apart = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != key)
+        apart[new] = self.borders(key[new])
+        self.asked[slot[new]], self.answers[slot[new]] = key[new], apart[new]
+        # Of two keys for one slot either may have left its answer there.
+        mixed = new[self.asked[slot[new]] != key[new]]
+        self.asked[slot[mixed]] = -1
+        return apart
+
+    @staticmethod
+    def slots(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
-        Undoes the later merge of the two pieces at the border, again and again:
-        a merge across the border must not come before the merge undone last. Of
+    def borders(self, key: np.ndarray) -> np.ndarray:
+        """For pairs (a, b) as numbers: undoes the later merge of the two pieces at the border, again and again.
+
+        A merge across the border must not come before the merge undone last. Of
         two merges of one rank the left one comes first.
         """
-        apart, at, limit = np.ones(len(a), dtype=bool), np.arange(len(a)), np.full(len(a), NEVER)
+        apart, at, limit = np.ones(len(key), dtype=bool), np.arange(len(key)), np.full(len(key), NEVER)
+        a, b = np.divmod(key, self.size + 1)
         while len(at):
             key = a * (self.size + 1) + b
-            place = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
-            crossing = np.where(self.join_keys[place] == key, self.join_ranks[place], NEVER) < limit
+            maybe = np.flatnonzero(self.joined[self.slots(key)])
+            place = np.minimum(np.searchsorted(self.join_keys, key[maybe]), len(self.join_keys) - 1)
+            crossing = np.zeros(len(key), dtype=bool)
+            crossing[maybe] = np.where(self.join_keys[place] == key[maybe], self.join_ranks[place], NEVER) < limit[maybe]
             apart[at[crossing]] = False
             rank_a, rank_b = self.rank[a], self.rank[b]
             more = ~crossing & ((rank_a >= 0) | (rank_b >= 0))
@@ -110,28 +134,28 @@ class Pieces:
         """For each word its ids, as 32-bit numbers in the machine's order."""
         sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
         begin = np.cumsum(sizes) - sizes
-        points = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        points = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         place = np.minimum(np.searchsorted(self.codes, points), len(self.codes) - 1)
         ids = np.where(self.codes[place] == points, place + 1, 0)
         ids[begin + sizes - 1] = 0
-        padded = np.concatenate([ids, np.zeros(self.queries.longest, dtype=np.int64)])
-        array = suffix_array(ids, np.flatnonzero(ids > 0), self.queries.longest)
+        longest = self.patterns.longest
+        keys = packed_keys(ids, longest, self.bits)
+        array = sort_suffixes(keys, np.flatnonzero(ids > 0), longest, self.patterns.per_key).astype(np.int32)
         inside = np.ones(len(ids), dtype=bool)
         inside[begin + sizes - 1] = False
-        lone = np.flatnonzero((ids == 0) & inside)
-        starts, pieces, spans = [lone], [np.full(len(lone), self.unknown)], [np.ones(len(lone), dtype=np.int64)]
-        for depth, query, low, high in search(padded, array, self.queries):
-            whole = self.lengths[query] == depth
-            at, which = spread(low[whole], high[whole])
-            starts.append(array[at])
-            pieces.append(self.usable[query[whole][which]])
-            spans.append(np.full(len(at), depth))
-        start, piece, span = map(np.concatenate, (starts, pieces, spans))
-        origin = np.repeat(begin, sizes)
+        lone = np.flatnonzero((ids == 0) & inside).astype(np.int32)
+        query, low, high = self.patterns.search(keys, array)
+        at, which = spread(low, high)
+        query = query[which]
+        start = np.concatenate([lone, array[at]])
+        piece = np.concatenate([np.full(len(lone), self.unknown, dtype=np.int32), self.usable[query]])
+        span = np.concatenate([np.ones(len(lone), dtype=np.int32), self.lengths[query]])
+        del keys, array, at, which, query, place, ids
+        origin = np.repeat(begin, sizes).astype(np.int32)
         reach = start + span - origin[start]
         by = np.argsort(reach, kind="stable")
         start, piece, span, reach = start[by], piece[by], span[by], reach[by]
-        last, back = np.full(len(ids) + 1, -1, dtype=np.int64), np.zeros(len(ids) + 1, dtype=np.int64)
+        last, back = np.full(len(points) + 1, -1, dtype=np.int32), np.zeros(len(points) + 1, dtype=np.int32)
         edges = np.searchsorted(reach, np.arange(1, int(reach.max(initial=0)) + 2))
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             s, p = start[low:high], piece[low:high]
@@ -216,36 +240,47 @@ def load(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+@lru_cache(maxsize=2)
+def pieces_of(model: str) -> Pieces:
+    """Kept by the worker from task to task."""
+    return Pieces(load(model))
+
+
 def encode_texts(
     docs: DataFrame,
     model: str,
     text: str = "text",
     ids: str = "piece_ids",
-    cache_entries: int = 150_000,
-    block_chars: int = 150_000,
+    cache_entries: int = 300_000,
+    block_chars: int = 300_000,
 ) -> DataFrame:
     """Append ids: array<int>, the ids of each whole text, as the model's own library gives them.
 
     No begin, end or added tokens; characters the model lacks become bytes. Null
     and empty texts have no ids. A column of docs named like ids is replaced. No
     row moves. Words known to the worker come from its cache of about
-    cache_entries entries; new ones are matched in blocks of about block_chars.
+    cache_entries entries, of which the half not asked for lately goes at a time;
+    new ones are matched in blocks of about block_chars.
     """
 
     def make() -> Callable:
-        pieces, cache = Pieces(load(model)), {}
+        pieces, recent, older = pieces_of(model), {}, {}
 
         def work(texts: list[str | None]) -> list:
-            if len(cache) > cache_entries:
-                cache.clear()
+            nonlocal recent, older
+            if len(recent) > cache_entries // 2:
+                recent, older = {}, recent
             parts = [pretokens(t) if t else [] for t in texts]
-            missing = list({w for p in parts for w in p if w not in cache})
+            fresh = set().union(*parts).difference(recent)
+            known = fresh.intersection(older)
+            recent.update((w, older[w]) for w in known)
+            missing = list(fresh.difference(known))
             for block in blocks_of(missing, block_chars):
-                cache.update(zip(block, pieces.encode(block), strict=True))
-            raw = [b"".join(map(cache.__getitem__, p)) for p in parts]
+                recent.update(zip(block, pieces.encode(block), strict=True))
+            raw = [b"".join(map(recent.__getitem__, p)) for p in parts]
             for w in missing:
                 if len(w) > 64:
-                    del cache[w]
+                    del recent[w]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))]
 

@@ -13,18 +13,28 @@ def known_run(ids: np.ndarray) -> np.ndarray:
     return stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
 
 
-def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """starts in the lexicographic order of the `depth` symbols that follow each.
-
-    As many symbols as fit are packed in a 64-bit key; later keys are only
-    compared among suffixes that are equal so far.
-    """
-    bits = max(1, int(ids.max(initial=1)).bit_length())
+def packed_keys(ids: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """For each position, and `depth` beyond the end, as many symbols from there on as fit in 63 bits."""
     per_key = 63 // bits
-    padded = np.concatenate([ids, np.zeros(depth + per_key, dtype=np.int64)])
+    padded = np.concatenate([ids, np.zeros(depth + per_key, dtype=ids.dtype)])
     keys = np.zeros(len(ids) + depth, dtype=np.int64)
     for j in range(per_key):
-        keys = (keys << bits) | padded[j : j + len(keys)]
+        keys <<= bits
+        keys |= padded[j : j + len(keys)]
+    return keys
+
+
+def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """starts in the lexicographic order of the `depth` symbols that follow each."""
+    bits = max(1, int(ids.max(initial=1)).bit_length())
+    return sort_suffixes(packed_keys(ids, depth, bits), starts, depth, 63 // bits)
+
+
+def sort_suffixes(keys: np.ndarray, starts: np.ndarray, depth: int, per_key: int) -> np.ndarray:
+    """starts in the order of their keys, then of the keys `per_key` places further on, and so on.
+
+    Later keys are only compared among suffixes that are equal so far.
+    """
     order = starts[np.argsort(keys[starts], kind="stable")]
     first = keys[order]
     group = np.concatenate([[0], np.cumsum(first[1:] != first[:-1])]) if len(order) else np.zeros(0, dtype=np.int64)
@@ -47,29 +57,67 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def search(ids: np.ndarray, array: np.ndarray, queries) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+class Patterns:
+    """Fixed strings of symbols to look for in many suffix arrays, packed like these."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bits: int):
+        self.lengths, self.per_key, self.longest = lengths, 63 // bits, int(lengths.max(initial=1))
+        self.low, self.high = [], []
+        for at in range(0, self.longest, self.per_key):
+            low = np.zeros(len(starts), dtype=np.int64)
+            high = np.zeros(len(starts), dtype=np.int64)
+            for j in range(at, at + self.per_key):
+                there = j < lengths
+                symbol = np.where(there, words[np.minimum(starts + j, len(words) - 1)] if len(words) else 0, 0)
+                low, high = low << bits | symbol, high << bits | np.where(there, symbol, (1 << bits) - 1)
+            self.low.append(low)
+            self.high.append(high)
+
+    def search(self, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, low, high) of the patterns that occur: binary search of all at once, a key deeper at a time."""
+        first, found = keys[order], []
+        low, high = np.searchsorted(first, self.low[0], "left"), np.searchsorted(first, self.high[0], "right")
+        pattern = np.flatnonzero(low < high)
+        low, high = low[pattern], high[pattern]
+        for depth in range(1, len(self.low) + 1):
+            ends = self.lengths[pattern] <= depth * self.per_key
+            found.append((pattern[ends], low[ends], high[ends]))
+            pattern, low, high = pattern[~ends], low[~ends], high[~ends]
+            if not len(pattern):
+                break
+            column = lambda at, d=depth: keys[order[at] + d * self.per_key]
+            low, high = bound(column, self.low[depth][pattern], low, high, False), bound(column, self.high[depth][pattern], low, high, True)
+            pattern, low, high = (x[low < high] for x in (pattern, low, high))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def search(ids: np.ndarray, array: np.ndarray, queries) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
     """Binary-search all queries at once, a symbol deeper at a time.
 
     queries has words (symbols of all, one after another), starts (where each
     begins), left (for each symbol, how many its query has from there on) and
     longest. ids must be padded by as many zeros.
 
-    Yields (depth, queries, low, high): the suffixes array[low:high] share their
-    first `depth` symbols with the query. Queries end where nothing matches.
+    Yields (depth, queries, low, high, (from, to)): the suffixes array[low:high]
+    share their first `depth` symbols with the query, array[from:to] one more;
+    from = to = high if none does. Queries end where nothing matches.
     """
     query = np.arange(len(queries.starts))
     low, high = np.zeros(len(query), dtype=np.int64), np.full(len(query), len(array), dtype=np.int64)
-    for depth in range(1, queries.longest + 1):
-        longer = queries.left[queries.starts[query]] >= depth
-        query, low, high = query[longer], low[longer], high[longer]
-        wanted = queries.words[queries.starts[query] + depth - 1]
-        column = lambda at, d=depth: ids[array[at] + d - 1]
-        low, high = bound(column, wanted, low, high, False), bound(column, wanted, low, high, True)
-        found = low < high
-        query, low, high = query[found], low[found], high[found]
+    for depth in range(queries.longest + 1):
+        more = np.flatnonzero(queries.left[queries.starts[query]] > depth)
+        wanted = queries.words[queries.starts[query[more]] + depth]
+        column = lambda at, d=depth: ids[array[at] + d]
+        below = high.copy(), high.copy()
+        below[0][more] = bound(column, wanted, low[more], high[more], False)
+        below[1][more] = bound(column, wanted, low[more], high[more], True)
+        none = below[0] >= below[1]
+        below[0][none], below[1][none] = high[none], high[none]
+        if depth:
+            yield depth, query, low, high, below
+        query, low, high = query[~none], below[0][~none], below[1][~none]
         if not len(query):
             return
-        yield depth, query, low, high
 
 
 def bound(column, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
