@@ -50,15 +50,25 @@ class FrequentLengths:
         }
 
 
+#: Tables of leading pre-tokens that one task merges.
+FAN = 16
+
+
 def frequent_lengths(docs: DataFrame, model: str, text: str, fraction: float, most: int, longest: int = 64) -> FrequentLengths:
     """The first tier: lengths of the pre-tokens seen most often in a sample.
 
     The sample decides only where a length is looked up, never what it is, so
-    its size has no bearing on results. Each task sends its own `most` leading
-    pre-tokens; the driver keeps `most` in all. Entries are at most `longest`
-    bytes, so the broadcast is bounded by most * (longest + 6) bytes.
+    its size has no bearing on results. Each task makes one table of at most
+    `most` pre-tokens that it has seen twice; tables are merged FAN at a time,
+    and cut to `most` again, until one is left, so no pre-token is a shuffle key
+    and no task or driver holds more than FAN tables. Entries are at most
+    `longest` bytes, so the broadcast is bounded by most * (longest + 6) bytes.
     """
 
+    def table(seen: Counter[str]) -> pa.RecordBatch:
+        top = sorted(((k, n) for k, n in seen.items() if n > 1 and len(k.encode()) <= longest), key=lambda x: (-x[1], x[0]))[:most]
+        return pa.RecordBatch.from_arrays([pa.array([[k for k, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["words", "n"])
+
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
@@ -67,25 +77,27 @@ def frequent_lengths(docs: DataFrame, model: str, text: str, fraction: float, mo
                     seen.update(pretokens(t or ""))
             if len(seen) > 8 * most:
                 seen = Counter(dict(seen.most_common(2 * most)))
-        top = [(k, n) for k, n in seen.most_common(most) if len(k.encode()) <= longest]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pretoken", "n"])
+        yield table(seen)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for words, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, v in zip(words, n, strict=True):
+                    seen[k] += v
+        yield table(seen)
 
     sample = docs.select(F.col(f"`{text}`").alias("text")).sample(fraction, seed=11)
-    rows = (
-        sample.mapInArrow(leaders, "pretoken string, n long")
-        .groupBy("pretoken")
-        .agg(F.sum("n").alias("n"))
-        # So that at most eight tasks send their leading rows to the driver.
-        .coalesce(8)
-        .orderBy(F.desc("n"), "pretoken")
-        .limit(most)
-        .collect()
-    )
+    schema, left = "words array<string>, n array<long>", sample.rdd.getNumPartitions()
+    tables = sample.mapInArrow(leaders, schema)
+    while left > 1:
+        left = -(-left // FAN)
+        tables = tables.repartition(left).mapInArrow(merged, schema)
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_file=model)
     check_model(processor)
-    words = [r.pretoken for r in rows]
+    words = [w for r in tables.collect() for w in r.words]
     return FrequentLengths(dict(zip(words, map(len, encode_each(processor, words)), strict=True)))
 
 
