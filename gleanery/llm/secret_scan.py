@@ -65,12 +65,10 @@ def base_matches(df: DataFrame, more: dict[str, tuple[Column, str]]) -> DataFram
 
 
 def pairs(word: Column) -> Column:
-    """array<int>: for each two neighbours in the word, code * CODES + code."""
-
-    def at(i: Column) -> Column:
-        return F.position(F.substr(word, i, F.lit(1)), F.lit(ALPHABET))
-
-    return F.when(F.char_length(word) > 1, F.transform(F.sequence(F.lit(1), F.char_length(word) - 1), lambda i: at(i) * CODES + at(i + 1))).otherwise(F.array().cast("array<int>"))
+    """array<int>: for each two neighbours in the word, code * CODES + code. Characters are split off once, as substrings would be counted out from the start each."""
+    codes = F.transform(F.split(word, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    last = F.greatest(F.char_length(word) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last), lambda a, b: a * CODES + b)
 
 
 def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
