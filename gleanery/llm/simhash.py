@@ -247,16 +247,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links: root is the smallest node of its component.
 
     Rounds of large-star and small-star: each hooks the neighbours of a node to
-    the smallest of them. Groups are reduced by partial minima, so a node with
-    many links makes no large task; every round is checkpointed.
+    the smallest of them. Groups are reduced by partial minima, and these are
+    checkpointed before they are joined back, so that Spark can split a node of
+    many links between tasks; every round is checkpointed.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         after = cut(small.where("a <> b").distinct())
         n = edges.count()
@@ -288,7 +289,8 @@ def group_names(marked: DataFrame, most: int) -> DataFrame:
     distinct = cut(marked.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(link_fingerprints(distinct.select("fp"), "fp", most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Apart from the join, so that a group of many fingerprints can be split between tasks.
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return named.join(least, "root").select("fp", "component_id")
 
 
