@@ -9,6 +9,7 @@ passes these filters is verified on the whole sets.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,8 +24,10 @@ OTHER_BLANKS = "\t\x0b\x0c\r"
 RARITY_BITS = 18
 #: Bits of the map of lines to verify; it spares shuffling the others, and its size is fixed.
 MAP_BITS = 23
-#: Rare words of a set that it is held against leads by.
-LEAD_WORDS = 4
+#: For each rare word of a set, how many of the last ones before it are looked at first.
+LAST_ONES = 3
+#: Words from which sets have a wide signature.
+LONG_SET = 64
 #: What a null id counts as.
 NO_ID = -(1 << 63)
 
@@ -40,6 +43,10 @@ class Similarity:
         """Words of a set of n among which it shares one with any set similar to it."""
         return n - F.floor((n * self.num + self.den - 1) / self.den).cast("int") + 1
 
+    def head(self, n: Column) -> Column:
+        """Words at the front that the wide signature is made of: twice the prefix."""
+        return F.least(n, 2 * self.prefix(n))
+
     def overlap(self, n: Column, m: Column) -> Column:
         """Words that sets of n and m must share."""
         return F.floor(((n + m) * self.num + self.num + self.den - 1) / (self.num + self.den)).cast("int")
@@ -136,26 +143,42 @@ def by_rarity(sets: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def described(sets: DataFrame, like: Similarity) -> DataFrame:
-    """(doc, own, line, h1, h2, n, sig, words): words stands for the prefix, sig has the parity of the words in each of 64 classes."""
-    n = F.size("words").alias("n")
+    """(doc, own, line, h1, h2, n, sig, sig_a, sig_b, words): words stands for the prefix.
+
+    sig has the parity of the words in each of 64 classes. That tells little of a
+    long set; sig_a and sig_b have the parity of its head's words in each of 128.
+    """
+    n, zero, head = F.size("words").alias("n"), F.lit(0).cast("long"), F.slice("words", F.lit(1), like.head(F.col("n")))
     # Shifts go by the last six bits of a number.
-    sig = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w))))
+    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w)))
+    half = lambda k: F.aggregate(head, zero, lambda acc, w: F.when(F.hash(w).bitwiseAND(F.lit(64)) == k, flip(acc, w)).otherwise(acc))
+    wide = lambda k: F.when(F.col("n") >= LONG_SET, half(k)).otherwise(zero)
     # Half of a number is enough to meet by.
     prefix = F.transform(F.slice("words", F.lit(1), like.prefix(F.col("n"))), lambda w: F.hash(w))
-    return sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig.alias("sig"), prefix.alias("words"))
+    sig = F.aggregate("words", zero, flip).alias("sig")
+    return sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig, wide(0).alias("sig_a"), wide(64).alias("sig_b"), prefix.alias("words"))
+
+
+#: Columns of a set and a word of its prefix.
+SET = ("id", "n", "sig", "sig_a", "sig_b", "pos")
+Cell = Callable[[str], Column]
 
 
-def passing(like: Similarity, x: str, y: str) -> Column:
-    """Length, positional and signature filters on sets with a word in common at places x_pos and y_pos.
+def passing(like: Similarity, x: Cell, y: Cell) -> Column:
+    """Length, positional and signature filters on sets with a word in common, given their columns by name.
 
     The positional filter may take the word as the first the two share: for the
     one that is the first, it holds. Sets differ in at least as many words as
-    their signatures in bits.
+    their signatures in bits. Of sets of n and m that share at least o words the
+    first few of these are in both heads, as at most n - o and m - o other words
+    come before; so the heads differ in few words as well.
     """
-    n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
+    n, m = x("n"), y("n")
     shared = like.overlap(n, m)
-    few = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig"))) <= n + m - 2 * shared
-    return like.sizes(n, m) & few & (F.least(n - i, m - j) >= shared)
+    bits = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
+    common = F.least(like.head(n) - n, like.head(m) - m) + shared
+    few = (F.least(n, m) < LONG_SET) | (bits("sig_a") + bits("sig_b") <= like.head(n) + like.head(m) - 2 * common)
+    return like.sizes(n, m) & (bits("sig") <= n + m - 2 * shared) & few & (F.least(n - x("pos"), m - y("pos")) >= shared)
 
 
 def line_map(ids: DataFrame) -> DataFrame:
@@ -170,7 +193,7 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
 
 
 def likely(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs whose prefixes share enough words.
+    """(x, y, alike): the pairs whose prefixes share enough words, and how many.
 
     Of sets of n and m that share at least o words, the first of these come
     after at most n - o and m - o other words; as many as fit into both prefixes
@@ -179,16 +202,14 @@ def likely(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("words").alias(f"{p}_words"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     n, m = F.col("x_n"), F.col("y_n")
-    shared = like.overlap(n, m)
-    least = F.least(like.prefix(n) - n, like.prefix(m) - m) + shared
+    least = F.least(like.prefix(n) - n, like.prefix(m) - m) + like.overlap(n, m)
     # Two words of a set may have one half; then it counts for both.
     alike = F.size(F.array_intersect("x_words", "y_words")) + F.size("x_words") - F.size(F.array_distinct("x_words"))
-    return both.where(alike >= least).select("x", "y")
+    return both.select("x", "y", alike.alias("alike"), least.alias("least")).where("alike >= least").drop("least")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similarity, scratch: Scratch, twice: bool) -> DataFrame:
     """The ids x of pairs (x, y) of sets that are as similar as asked, by the whole sets. twice: whether a line may be there more than once."""
-    pairs = scratch.stored(likely(pairs, sets, like))
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = scratch.stored(sets.select("id", "doc", "own", "line").join(ids, "id"))
     # The map only spares the other lines the shuffle; the join decides.
@@ -206,12 +227,12 @@ def verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, like: Similari
 def first_lines(lines: DataFrame) -> DataFrame:
     """One row for each different set: its first line, how many lines have it, and an id in the order of the first lines."""
     first = F.min(F.struct("doc", "line", "own")).alias("first")
-    sets = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
-    return sets.select("first.*", "h1", "h2", "rows", "n", "sig", "words").orderBy("doc", "line", "own").withColumn("id", F.monotonically_increasing_id())
+    sets = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"), *[F.first(c).alias(c) for c in (*SET[1:-1], "words")])
+    return sets.select("first.*", "h1", "h2", "rows", *SET[1:-1], "words").orderBy("doc", "line", "own").withColumn("id", F.monotonically_increasing_id())
 
 
 def prefix_words(sets: DataFrame, *more: str) -> DataFrame:
-    return sets.select("id", "n", "sig", *more, F.posexplode("words").alias("pos", "word"))
+    return sets.select(*SET[:-1], *more, F.posexplode("words").alias("pos", "word"))
 
 
 def at_front(like: Similarity) -> Column:
@@ -220,27 +241,25 @@ def at_front(like: Similarity) -> Column:
 
 
 def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
-    """(x, y): for a set, the one of its leads that passes the filters for most words. A lead is the first set, among those of about its size, that has a word in its prefix.
+    """(x, y, alike): each set x with a few earlier ones that pass the filters: the first and the last before it of those of about its size that share a rare word.
 
-    This step settles groups of copies at a pair a line, and a few words of each
-    set are enough for that; all else is found later.
+    This settles groups of copies at a few pairs a line; all else is found later.
     """
-    near = prefix_words(sets).where(at_front(like) & (F.col("pos") < LEAD_WORDS))
+    near = prefix_words(sets).where(at_front(like))
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(like.den / like.num)).alias("size")
-    before = Window.partitionBy("word", "size").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = F.first(F.struct("id", "n", "sig", "pos")).over(before).alias("lead")
-    led = near.select("*", size).select(*[F.col(c).alias(f"x_{c}") for c in SET], lead).select("*", *[F.col(f"lead.{c}").alias(f"y_{c}") for c in SET])
-    return led.where(F.col("x_id") > F.col("y_id")).where(passing(like, "x_", "y_")).groupBy(F.col("x_id").alias("x")).agg(F.mode("y_id", True).alias("y"))
-
-
-#: Columns of a set and a word of its prefix.
-SET = ("id", "n", "sig", "pos")
+    by_word, own = Window.partitionBy("word", "size").orderBy("id"), F.struct(*SET)
+    first = F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = [f"before_{k}" for k in range(LAST_ONES + 1)]
+    led = near.select("*", size).select(*SET, *[c.alias(k) for k, c in zip(names, [first, *[F.lag(own, k).over(by_word) for k in range(1, LAST_ONES + 1)]], strict=True)])
+    fits = [F.when((F.col("id") > F.col(k)["id"]) & passing(like, F.col, lambda c, k=k: F.col(k)[c]), F.col(k)["id"]) for k in names]
+    pairs = led.select(F.col("id").alias("x"), F.array_compact(F.array(*fits)).alias("y")).where(F.size("y") > 0).select("x", F.explode("y").alias("y")).distinct()
+    return likely(pairs, sets, like)
 
 
 def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): all pairs that pass the filters, with y before x, for each x that isn't settled."""
     # Pairs are met with the smaller set first, whichever comes later.
-    known = sets.select("id", "n", "sig", "words").join(settled.select("id", F.lit(0).alias("open")), "id", "left")
+    known = sets.select(*SET[:-1], "words").join(settled.select("id", F.lit(0).alias("open")), "id", "left")
     words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(1))), "open").repartition("word")
     # The smaller set, or the earlier of two of one size, has its word near the front. Said so that it isn't done before the shuffle, which both sides share.
     near = words.where(F.when(F.spark_partition_id() >= 0, at_front(like)))
@@ -248,7 +267,8 @@ def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFr
     # What most pairs fail comes first.
     smaller = (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") * like.den >= F.col("y_n") * like.num) & ((F.col("x_n") < F.col("y_n")) | (F.col("x_id") < F.col("y_id")))
     asked = F.when(F.col("x_id") > F.col("y_id"), F.col("x_open")).otherwise(F.col("y_open")) == 1
-    found = x.join(y, (F.col("x_word") == F.col("y_word")) & smaller & passing(like, "x_", "y_") & asked)
+    passes = passing(like, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+    found = x.join(y, (F.col("x_word") == F.col("y_word")) & smaller & passes & asked)
     return found.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct()
 
 
@@ -261,9 +281,9 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     The set of every line is written once to the shared folder, and read from
     there by all that follows. Equal sets are reduced to their first line before
     anything is compared, with partial aggregation, so a line in a third of all
-    documents is one row. A set is held against one lead first; groups of near
-    copies are settled so, at a pair a line. Sets that no lead settles are then
-    joined with all earlier ones that share a word of the prefix.
+    documents is one row. A set is held against a few others first; groups of
+    near copies are settled so, at a few pairs a line. Sets that these don't settle
+    are then joined with all earlier ones that share a word of the prefix.
     """
     scratch = Scratch(docs)
     # Words repeat, so a dictionary large enough makes the table half as large.
@@ -272,9 +292,13 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     places = cut(word_places(lines))
     sets = scratch.stored(first_lines(described(by_rarity(lines, places), like)))
     leads = scratch.stored(lead_pairs(sets, like))
-    settled = verified(leads, sets, lines, like, scratch, twice)
+    # The most alike one of each first: where that does, the others needn't be looked at.
+    best = scratch.stored(leads.groupBy("x").agg(F.max(F.struct("alike", "y")).alias("best")).select("x", "best.y"))
+    settled = verified(best, sets, lines, like, scratch, twice)
+    rest = leads.join(settled.select(F.col("id").alias("x")), "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
+    settled = settled.unionByName(verified(scratch.stored(rest), sets, lines, like, scratch, twice))
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
-    others = scratch.stored(other_pairs(sets, settled, like), spark__sql__constraintPropagation__enabled="false")
+    others = scratch.stored(likely(other_pairs(sets, settled, like), sets, like), spark__sql__constraintPropagation__enabled="false")
     gone = settled.unionByName(verified(others, sets, lines, like, scratch, twice)).withColumn("gone", F.lit(True))
     groups = sets.select("id", "h1", "h2", "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc", "own", "line")]).join(gone, "id", "left")
     # Most sets have one line, and it stays: they need no second look.
