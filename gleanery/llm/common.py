@@ -27,10 +27,12 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The checkpoint folder in spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
+    """The checkpoint folder in spark.checkpoint.dir; a session on one machine without one (tests) gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
     return context.getCheckpointDir()
 
