@@ -79,8 +79,8 @@ def learn(x: np.ndarray, good: np.ndarray, pairs_each: int = 8, ridge: float = 1
     """Bradley-Terry weights from pairs of a good and a bad document.
 
     P(good one preferred) = sigmoid(w . (difference of features)); Newton steps on
-    the mean logistic loss with a ridge. Each document of the rarer kind meets
-    pairs_each of the other. The threshold is the quantile of the sample's
+    the mean logistic loss with a ridge. Pairs are drawn at random, pairs_each for
+    each document of the commoner kind. The threshold is the quantile of the sample's
     scores at the share of bad documents. Without both kinds all weights are 0
     and every score is 0.5.
     """

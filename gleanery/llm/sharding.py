@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanery.llm.common import cut, free_name
+from gleanery.llm.common import cut
 
 # Fixed value: the multiplier of the linear congruential generator in the jump
 # consistent hash paper (Lamping and Veach, 2014).
 MULTIPLIER = 2862933555777941757
 RANGE = 1 << 64
+#: Columns beside the key.
+OUTPUTS = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
 def jump_targets(key: Column, shards: int) -> Column:
@@ -48,7 +51,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     to shard or the new one). Only key and text are read; other columns, clashing
     names included, are left out.
 
-    Null or empty texts have size 1 and crc32 0. A null key shards as 0. Rows
+    Null or empty texts have size 1 and crc32 0. A null key shards as 0; one that
+    isn't a whole number shards by the XXH64 of its text. A key column named like
+    one of the others gets an underscore. Rows
     with equal keys share a shard and get different slots. An empty table gives
     an empty result.
 
@@ -58,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     ever gathers a shard, and equal or null keys can't make a hot one.
     """
     text_bytes = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    path = jump_targets(F.col(f"`{key}`"), shards + 1)
+    own = F.col(f"`{key}`")
+    whole = isinstance(docs.select(own).schema[0].dataType, T.IntegralType)
+    path = jump_targets(own if whole else F.when(own.isNotNull(), F.xxhash64(own.cast("string"))), shards + 1)
     marked = docs.select(
         F.col(f"`{key}`").alias("key"),
         (F.octet_length(text_bytes) + 1).cast("long").alias("size"),
@@ -82,9 +89,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     offsets = counts.select(
         F.col("shard"), F.col("task"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")
     )
-    own = Window.partitionBy("shard", "task").orderBy("row")
-    ranked = narrow.withColumn("rank", F.row_number().over(own) - 1)
-    name = free_name(ranked, key) if key.lower() in {"size", "shard"} else key
+    in_task = Window.partitionBy("shard", "task").orderBy("row")
+    ranked = narrow.withColumn("rank", F.row_number().over(in_task) - 1)
+    name = key
+    while name.lower() in OUTPUTS:
+        name += "_"
     return ranked.join(offsets, ["shard", "task"]).select(
         F.col("key").alias(name),
         "size",

@@ -342,3 +342,37 @@ def test_substring_dedup_of_low_entropy_and_across_shards(spark, monkeypatch):
                 mark[p : p + 100] = [True] * 100
             seen.add(t[p : p + 100])
         assert got[i].n_removed == sum(mark)
+
+
+def test_sharding_by_keys_of_other_kinds_and_names(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", None), (None, ""), ("a", "x")], "slot string, text string")
+    got = sharding.shard_documents(rows, 8, key="slot")
+    assert got.columns == ["slot_", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    signed = lambda k: xxhash.xxh64_intdigest(k.encode(), 42) if k else 0
+    assert sorted((r.slot_ or "", r.shard) for r in got.collect()) == sorted((k or "", jump(signed(k), 8)) for k in ("a", "b", None, "a"))
+
+
+def test_long_words_and_runs_take_linear_time(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice(secret_scan.ALPHABET) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, "key " + run), (2, "ab " * 30_000)], "doc_id long, text string")
+    words = spark.createDataFrame([(x, True) for x in (run[:400], run[400:900])] + [("connection_manager", False)], "value string, secret boolean")
+    got = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.scan_secrets(docs, samples=words)).collect()}
+    assert got[1].startswith("markov:4:") and got[2] == ""
+    benchmark = spark.createDataFrame([(1, "ab " * 200)], "item_id long, text string")
+    hit = {r.doc_id: (r.n_hit, r.longest_match) for r in decontaminate.find_contamination(docs, benchmark).collect()}
+    assert hit == {1: (0, 0), 2: (30_000, 200)}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = piece_codec.Pieces(library)
+    long_ = "▁" + run
+    assert np.frombuffer(pieces.encode([long_])[0], dtype=np.int32).tolist() == library.encode(run)
+    assert token_count.count_tokens(docs, MODEL).where("doc_id = 1").first().n_tokens == len(library.encode("key " + run))
+
+
+def test_leading_tables_are_merged_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(token_count, "FAN", 2)
+    docs = spark.createDataFrame([(i, "often often seldom" + str(i)) for i in range(40)], "doc_id long, text string").repartition(7)
+    table = token_count.frequent_lengths(docs, MODEL, "text", 1.0, 3).table()
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert table["▁often"] == len(library.encode("often")) and len(table) <= 3
+    assert token_count.frequent_lengths(docs.limit(0), MODEL, "text", 1.0, 3).table() == {}
