@@ -155,6 +155,7 @@ class Pieces:
         reach = start + span - origin[start]
         by = np.argsort(reach, kind="stable")
         start, piece, span, reach = start[by], piece[by], span[by], reach[by]
+        del by
         last, back = np.full(len(points) + 1, -1, dtype=np.int32), np.zeros(len(points) + 1, dtype=np.int32)
         edges = np.searchsorted(reach, np.arange(1, int(reach.max(initial=0)) + 2))
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -251,8 +252,8 @@ def encode_texts(
     model: str,
     text: str = "text",
     ids: str = "piece_ids",
-    cache_entries: int = 300_000,
-    block_chars: int = 300_000,
+    cache_entries: int = 120_000,
+    block_chars: int = 150_000,
 ) -> DataFrame:
     """Append ids: array<int>, the ids of each whole text, as the model's own library gives them.
 
