@@ -356,7 +356,8 @@ def test_long_words_and_runs_take_linear_time(spark):
     rng = random.Random(4)
     run = "".join(rng.choice(secret_scan.ALPHABET) for _ in range(60_000))
     docs = spark.createDataFrame([(1, "key " + run), (2, "ab " * 30_000)], "doc_id long, text string")
-    words = spark.createDataFrame([(x, True) for x in (run[:400], run[400:900])] + [("connection_manager", False)], "value string, secret boolean")
+    ordinary = ["connection_manager_handler", "document_retrieval_engine", "transformation_pipeline", "authentication_service"] * 5
+    words = spark.createDataFrame([(run[a : a + 30], True) for a in range(0, 9000, 30)] + [(x, False) for x in ordinary], "value string, secret boolean")
     got = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.scan_secrets(docs, samples=words)).collect()}
     assert got[1].startswith("markov:4:") and got[2] == ""
     benchmark = spark.createDataFrame([(1, "ab " * 200)], "item_id long, text string")
