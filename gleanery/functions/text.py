@@ -22,6 +22,10 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def n_terms(c: Column | str) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z0-9]+"))
+
+
 def n_words(c: Column | str) -> Column:
     return F.size(words(c))
 
@@ -94,6 +98,10 @@ def wiki_title(c: Column | str) -> Column:
 
 def word_windows(c: Column | str, size: int, step: int) -> Column:
     """array<struct<start,text>>: windows of `size` words every `step`; the last may be shorter."""
-    w = words(c)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("text")))
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("text")))
+
+    # As a variable the words are found once, not once for each window.
+    return F.flatten(F.transform(F.array(words(c)), windows))

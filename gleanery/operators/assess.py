@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.models import Generate, asked_list
 from gleanery.functions.text import n_words
+from gleanery.session import cut
 
 
 def gathered(results: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def gaps(queries: DataFrame, results: DataFrame, threshold: float = 0.7) -> Data
     def has(*words: str) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
-    # Question shapes and the words that answer them.
+    # Question shapes, the words that answer them, and what is said of those left open.
     shapes = [
         ("how does (.+) (?:address|solve|improve)", "mechanism/approach"),
         ("what (?:role|part) does (.+) play", "role/contribution"),
@@ -46,6 +48,7 @@ def gaps(queries: DataFrame, results: DataFrame, threshold: float = 0.7) -> Data
     two = F.slice("missing_entities", 1, 2)
     middle = F.array_join(F.slice(F.split("query", " "), 3, 3), " ")
 
+    # What is asked for an open aspect.
     def ask(aspect: Column) -> Column:
         return (
             F.when(F.contains(aspect, F.lit("comparison")), F.concat(F.lit("differences "), F.array_join(two, " ")))
@@ -183,4 +186,40 @@ def contradictions(claim_rows: DataFrame) -> DataFrame:
     return s.select(*out, *kinds, F.lit(0.9).alias("confidence"), why.alias("explanation")).unionByName(r.select(*out, *kinds, F.lit(0.85).alias("confidence"), F.lit("Reversed comparison claims").alias("explanation")))
 
 
-__all__ = ["claims", "claims_in", "confidence", "contradictions", "gaps", "gathered", "goes_on"]
+def contradictions_by_query(results: DataFrame) -> DataFrame:
+    """(query_id, chunk_id_a, chunk_id_b, claim_a, claim_b, ...): contradictions among the results of each query with two or more.
+
+    Claims are looked for once in each different chunk, and pairs once in all;
+    a query has those whose chunks are both among its results.
+    """
+    several = results.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).where("n > 1")
+    chunks = several.select("id", F.col("doc_id").cast("string").alias("source"), "content").dropDuplicates(["id"])
+    found = cut(claims(chunks))
+    told = found.select("chunk_id", "pos", F.col("text").alias("claim"), "source")
+    side = lambda x: told.select(*[F.col(c).alias(f"{c}_{x}") for c in told.columns])
+    pairs = contradictions(found).join(side("a"), ["chunk_id_a", "pos_a"]).join(side("b"), ["chunk_id_b", "pos_b"])
+    own = lambda x: several.select("query_id", F.col("id").alias(f"chunk_id_{x}"))
+    return pairs.join(own("a"), "chunk_id_a").join(own("b"), ["query_id", "chunk_id_b"])
+
+
+# Fixed value: what is said beside conflicting claims.
+WARNING = "Retrieved information contains conflicting claims. Please verify with primary sources."
+
+
+def surfaced(pairs: DataFrame, strategy: str = "surface", longest: int = 200) -> DataFrame:
+    """(query_id, count, strategy, details, warning) for queries with contradictions; claims are cut to 200 characters."""
+    detail = F.struct(
+        F.substring("claim_a", 1, longest).alias("claim_a"), "source_a", F.substring("claim_b", 1, longest).alias("claim_b"), "source_b", "conflict_type", "severity", "explanation"
+    )
+    rows = pairs.groupBy("query_id").agg(F.count("*").alias("count"), F.sort_array(F.collect_list(detail)).alias("details"))
+    return rows.select("query_id", "count", F.lit(strategy).alias("strategy"), "details", F.lit(WARNING).alias("warning"))
+
+
+def gaps_with(generate: Generate, queries: DataFrame, results: DataFrame) -> DataFrame:
+    """gaps(), with suggestions from a language model where it gives a list."""
+    found = gaps(queries, results)
+    prompt = F.concat(F.lit("Which questions does this query leave open? Answer with a JSON list.\n"), "query", F.lit("\nMissing: "), F.array_join("missing_entities", ", "))
+    return found.withColumn("suggestions", asked_list(generate, prompt, F.col("suggestions")))
+
+
+__all__ = ["claims", "claims_in", "confidence", "contradictions", "contradictions_by_query", "gaps", "gaps_with", "gathered", "goes_on", "surfaced"]

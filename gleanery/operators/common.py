@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of df's size is within what may be broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if the optimizer's estimate of its size is within the bound."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(estimate)) <= BROADCAST_BYTES else df
+    """df with a broadcast hint if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def ranked(df: DataFrame, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:

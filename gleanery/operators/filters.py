@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,3 +79,40 @@ def content_in_scope(text: Column, keywords: list[str]) -> Column:
 def unseen(new: DataFrame, known: DataFrame, key: str = "hash") -> DataFrame:
     """New rows whose hash isn't known, each hash once."""
     return new.join(known.select(key), key, "left_anti").dropDuplicates([key])
+
+
+#: Bytes that a fetched file may have.
+MOST_BYTES = 50 << 20
+
+
+def fetch_status(pages: DataFrame, whitelist: DataFrame, url: str = "url", size: str = "size", most: int = MOST_BYTES) -> DataFrame:
+    """pages with status: 'not whitelisted', 'too large', or 'ok'. A refusal is a row, not an error."""
+    keep = pages.columns
+    listed = whitelisted(pages.select(url).distinct(), whitelist, url).withColumn("_listed", F.lit(True))
+    joined = pages.join(listed, url, "left")
+    status = F.when(F.col("_listed").isNull(), "not whitelisted").when(F.coalesce(F.col(size), F.lit(0)) > most, "too large").otherwise("ok")
+    return joined.select(*keep, status.alias("status"))
+
+
+# Parts of addresses that a scope leaves out unless told otherwise.
+LEFT_OUT = ["/File:", "/Category:", "/Template:", "/User:", "/Talk:", "/Special:", r"\?", "#"]
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What a crawl of one subject takes in."""
+
+    name: str
+    seeds: list[str]
+    include: list[str]
+    exclude: list[str] = field(default_factory=lambda: list(LEFT_OUT))
+    keywords: list[str] = field(default_factory=list)
+    collection: str | None = None
+
+    @property
+    def into(self) -> str:
+        return self.collection or self.name
+
+    def takes(self, url: Column, text: Column | None = None) -> Column:
+        inside = url_in_scope(url, self.include, self.exclude)
+        return inside if text is None else inside & content_in_scope(text, self.keywords)

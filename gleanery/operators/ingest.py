@@ -8,10 +8,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import clean_text, content_hash
+from gleanery.functions.text import clean_text, content_hash, safe_name
 
 PARAGRAPH, SENTENCE = re.compile(r"\n\n+"), re.compile(r"(?<=[.!?])\s+")
 CHUNKS = "array<struct<chunk_index:int,text:string,tokens:int,start_char:int,end_char:int>>"
@@ -178,3 +178,47 @@ def crawl(pages: DataFrame, seeds: DataFrame, in_scope: Callable, hops: int = 2,
         seen = seen.unionByName(frontier)
     got = seen.join(pages.select("url"), "url", "left_semi")
     return got.orderBy("depth", "url").limit(most) if most else got
+
+
+def paper_header(title: Column, paper_id: Column, authors: Column, published: Column, categories: Column, url: Column, abstract: Column) -> Column:
+    """What goes before the text of a paper."""
+    told = [("arXiv ID", paper_id), ("Authors", F.array_join(authors, ", ")), ("Published", F.date_format(published, "yyyy-MM-dd")), ("Categories", F.array_join(categories, ", ")), ("URL", url)]
+    return _header(title, told, F.concat(F.lit("## Abstract\n\n"), F.coalesce(abstract, F.lit("")), F.lit("\n\n")))
+
+
+def page_header(title: Column, url: Column, crawled: Column) -> Column:
+    """What goes before the text of a page."""
+    return _header(title, [("Source", url), ("Crawled", crawled)], F.lit(""))
+
+
+def _header(title: Column, told: list[tuple[str, Column]], more: Column) -> Column:
+    lines = [F.concat(F.lit(f"**{name}:** "), F.coalesce(c.cast("string"), F.lit(""))) for name, c in told]
+    return F.concat(F.lit("# "), F.coalesce(title, F.lit("Untitled")), F.lit("\n\n"), F.concat_ws("\n", *lines), F.lit("\n\n"), more, F.lit("---\n\n"))
+
+
+def fresh_documents(rows: DataFrame, known: DataFrame, prefix: Column) -> DataFrame:
+    """(filename, content, hash, clean) of rows (title, header, text) not seen yet: the hash is of the cleaned text without its header."""
+    cleaned = rows.withColumn("clean", clean_text("text")).where("clean <> ''").withColumn("hash", content_hash("clean"))
+    new = cleaned.join(known.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
+    name = F.concat(prefix, F.lit("_"), safe_name("title"), F.lit(".md"))
+    return new.select(name.alias("filename"), F.concat("header", "clean").alias("content"), "hash", "clean")
+
+
+def ingest_pages(pages: DataFrame, known: DataFrame, source: str, in_scope: Callable | None = None) -> DataFrame:
+    """Pages (url, title, markdown, crawled_at) as documents with a header; those out of scope, empty or known are left out."""
+    some = pages.where(in_scope(F.col("url"), F.col("markdown"))) if in_scope else pages
+    rows = some.select("title", page_header(F.col("title"), F.col("url"), F.col("crawled_at")).alias("header"), F.col("markdown").alias("text"))
+    return fresh_documents(rows, known, F.lit(source)).drop("clean")
+
+
+def ingest_papers(papers: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Papers whose text (paper_id, text) is at hand as documents with a header; known texts are left out."""
+    url = F.concat(F.lit("https://arxiv.org/abs/"), "paper_id")
+    header = paper_header(*map(F.col, ("title", "paper_id", "authors", "published", "categories")), url, F.col("summary"))
+    rows = papers.join(texts, "paper_id").select("title", header.alias("header"), "text", "paper_id")
+    return fresh_documents(rows, known, F.lit("paper")).drop("clean")
+
+
+def total_tokens(chunked: DataFrame) -> DataFrame:
+    """(doc_id, chunks, tokens) of chunks."""
+    return chunked.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))

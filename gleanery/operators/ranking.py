@@ -50,6 +50,18 @@ def by_entities(results: DataFrame, content: str = "content", entities: str = "e
     return ranked(scored, F.desc("entity_score"), F.asc("before")).where(F.col("rank") <= top_k).drop("before")
 
 
+def entity_breakdown(content: Column, missing: Column, every: Column) -> Column:
+    """struct: coverage of the missing entities and which of them the text has, of all the query's, and whether the text fills a gap."""
+    has = lambda names: F.filter(names, lambda e: F.contains(F.lower(content), F.lower(e)))
+    return F.struct(
+        entity_coverage(content, missing).alias("missing_coverage"),
+        has(missing).alias("found_missing"),
+        (F.size(has(missing)) > 0).alias("is_valuable"),
+        F.when(F.size(every) > 0, entity_coverage(content, every)).alias("total_coverage"),
+        has(every).alias("found_all"),
+    )
+
+
 def within_budget(rows: DataFrame, by: str, text: str, score: str, at: str, target: int, least: int = 3) -> DataFrame:
     """Texts by score until the tokens exceed the target, but `least` of them at any rate; at restores the order."""
     order = Window.partitionBy(by).orderBy(F.desc(score), F.asc(at))

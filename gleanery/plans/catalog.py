@@ -35,8 +35,15 @@ def query(sql: str | None = None) -> Callable[[Q], Q]:
     return register
 
 
+#: Files up to this size are often one row group, which one task would read alone; their rows are dealt out.
+SPREAD_BYTES = 64 << 20
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS and 1 << 20 < size <= SPREAD_BYTES else df
 
 
 def chunks_(spark: SparkSession, d: str) -> DataFrame:
@@ -300,9 +307,17 @@ def contradicted(chunks: DataFrame) -> DataFrame:
     return chunks.select("id").join(counts, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n_contradictions"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, doc_id // 2 AS pair, doc_id % 90 + 10 AS value FROM documents), n AS (SELECT a.doc_id, count(*) FILTER (a.value <> b.value) * 4 AS n FROM p a JOIN p b ON a.pair = b.pair AND a.doc_id <> b.doc_id GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_contradictions FROM documents LEFT JOIN n USING (doc_id)""")
 def document_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return contradicted(chunks_(spark, d))
+    return contradicted(claiming(spark, d))
+
+
+def claiming(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents after a sentence of their own that claims something; two at a time speak of one subject."""
+    subject = F.translate(F.floor(F.col("id") / 2).cast("string"), "0123456789", "abcdefghij")
+    said = F.concat(F.lit("Model-"), subject, F.lit(" achieves "), (F.col("id") % 90 + 10).cast("string"), F.lit("% accuracy. "))
+    return chunks_(spark, d).withColumn("content", F.concat(said, "content"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +370,15 @@ def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", text.normalize_answer(F.regexp_replace("text", r"[^\x00-\x7F]", "a")).alias("normal"))
 
 
-@query()
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+LINE_ENDS = r"^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$"
+CLEAN = "text"
+for _pattern, _into in text.CLEANING:
+    _pattern = _pattern.replace(r"(?U)(\w+)-\n(\w+)", f"({WORD})-\\n({WORD})").replace("'", "''")
+    CLEAN = f"regexp_replace({CLEAN}, '{_pattern}', " + {"$1$2": r"'\1\2'", "\n\n": "chr(10) || chr(10)", "\n": "chr(10)"}.get(_into, "'" + _into.replace("'", "''") + "'") + ", 'g')"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(array_to_string(list_transform(string_split({CLEAN}, chr(10)), lambda x: regexp_replace(x, '{LINE_ENDS}', '', 'g')), chr(10)), '{LINE_ENDS}', '', 'g')) AS clean_sha256 FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(text.clean_text("text"), 256).alias("clean_sha256"))
 
@@ -431,7 +454,24 @@ def engine(spark: SparkSession, d: str, **config) -> Engine:
     return Engine.over(chunks_(spark, d), Config(**config))
 
 
-@query()
+EMBEDDED = f"""asked_all AS (SELECT item_id AS id, unnest({TERMS.format('text')}) AS term FROM benchmark),
+dvec AS (SELECT id, ('0x' || md5(term)[1:2])::INT % 64 AS p, sum(CASE WHEN ('0x' || md5(term)[3:4])::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM flat GROUP BY 1, 2),
+qvec AS (SELECT id AS query_id, ('0x' || md5(term)[1:2])::INT % 64 AS p, sum(CASE WHEN ('0x' || md5(term)[3:4])::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM asked_all GROUP BY 1, 2)"""
+NEAR = """dn AS (SELECT id, sqrt(sum(x * x)) AS size FROM dvec GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(x * x)) AS size FROM qvec GROUP BY 1),
+dots AS (SELECT query_id, id, sum(d.x * q.x) AS dot FROM dvec d JOIN qvec q USING (p) GROUP BY 1, 2),
+ns AS (SELECT qn.query_id, dn.id, round(CASE WHEN qn.size * dn.size > 0 THEN coalesce(dot, 0) / (qn.size * dn.size) ELSE 0 END, 6) AS score FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.query_id = qn.query_id AND dots.id = dn.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ns)"""
+HYBRID = f"""{BM25}, {OVERLAP}, {EMBEDDED}, {NEAR},
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(coalesce(0.65::DOUBLE / (60 + a.rank), 0) + coalesce(0.35::DOUBLE / (60 + b.rank), 0), 9) AS score
+  FROM (SELECT * FROM near WHERE rank <= 30) a FULL JOIN (SELECT * FROM bm25 WHERE rank <= 30) b ON a.query_id = b.query_id AND a.id = b.id),
+p AS (SELECT query_id, id, rank, 1.0::DOUBLE / rank AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 30),
+s AS (SELECT p.*, x.source AS doc_id, coalesce(ov.score, 0) AS reranked, count(*) OVER (PARTITION BY p.query_id) AS n FROM p JOIN documents x ON x.doc_id = p.id LEFT JOIN ov ON ov.query_id = p.query_id AND ov.id = p.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 10 THEN reranked END DESC NULLS LAST, rank) AS before FROM s),
+v AS (SELECT *, (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY before) > 3)::INT AS over FROM t),
+hybrid AS (SELECT * FROM (SELECT query_id, id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY over, before) AS rank FROM v) WHERE rank <= 10)"""
+
+
+@query(f"WITH {HYBRID} SELECT query_id, id, doc_id, score, rank FROM hybrid")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d).search(asked(spark, d)).select("query_id", "id", "doc_id", "score", "rank")
 
@@ -486,9 +526,11 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return ingest.pages_to_markdown(table(spark, d, "pages"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, source, concat('Model-', translate((doc_id // 2)::VARCHAR, '0123456789', 'abcdefghij')) AS subject, (doc_id % 90 + 10)::VARCHAR AS value, text FROM documents),
+t AS (SELECT *, concat(subject, ' achieves ', value, '% accuracy') AS said FROM c), x AS (SELECT *, regexp_replace(substr(concat(said, '. ', text), 1, length(said) + 50), '[\s\x{85}\x{a0}]+$', '') AS told FROM t)
+SELECT doc_id AS chunk_id, source, pos::INT AS pos, told AS text, 'statistic' AS claim_type, subject, 0.9::DOUBLE AS confidence FROM x, (SELECT unnest([0, 1]) AS pos)""".replace("\\\\", "\\"))
 def extract_claims(spark: SparkSession, d: str) -> DataFrame:
-    return assess.claims(chunks_(spark, d))
+    return assess.claims(claiming(spark, d))
 
 
 @query()
@@ -504,11 +546,13 @@ def textrank_sentences(spark: SparkSession, d: str) -> DataFrame:
     return context.extractive(rows.select("query_id", "sentence_no", embed(F.col("sentence")).alias("embedding"), embed(F.col("query")).alias("query_embedding")))
 
 
-@query()
+@query(f"""WITH flat AS (SELECT 0 AS id, 'x' AS term), {EMBEDDED}, grid AS (SELECT item_id AS query_id, unnest(range(64)) AS p FROM benchmark),
+m AS (SELECT query_id, p, coalesce(x, 0) * 0.7::DOUBLE + coalesce(x, 0) * (1 - 0.7::DOUBLE) AS m FROM grid LEFT JOIN qvec USING (query_id, p)), n AS (SELECT query_id, sqrt(sum(m * m)) AS size FROM m GROUP BY 1)
+SELECT query_id, p AS "at", round(m / (size + 1e-8), 6) AS x FROM m JOIN n USING (query_id)""")
 def hyde_blend(spark: SparkSession, d: str) -> DataFrame:
     embed = models.hash_embedder()
     q = asked(spark, d).select("query_id", "query", embed(F.col("query")).alias("q"), embed(models.or_query(F.lit(None).cast("string"), F.col("query"))).alias("h"))
-    return q.select("query_id", U.prompt_type(F.col("query")).alias("prompt_type"), F.transform(vectors.blend(F.col("q"), F.col("h"), 0.7), lambda x: F.round(x, 6)).alias("blended"))
+    return q.select("query_id", F.posexplode(vectors.blend(F.col("q"), F.col("h"), 0.7)).alias("at", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -531,8 +575,11 @@ def random_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Q]:
+    from gleanery.plans import catalog_more  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
