@@ -26,6 +26,8 @@ RARITY_BITS = 18
 MAP_BITS = 23
 #: For each rare word of a set, how many of the last ones before it are looked at first.
 LAST_ONES = 3
+#: Of these, how many at most are compared whole before the join that has all.
+TURNS = 4
 #: Words from which sets have a wide signature.
 LONG_SET = 64
 #: What a null id counts as.
@@ -292,11 +294,12 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     places = cut(word_places(lines))
     sets = scratch.stored(first_lines(described(by_rarity(lines, places), like)))
     leads = scratch.stored(lead_pairs(sets, like))
-    # The most alike one of each first: where that does, the others needn't be looked at.
-    best = scratch.stored(leads.groupBy("x").agg(F.max(F.struct("alike", "y")).alias("best")).select("x", "best.y"))
-    settled = verified(best, sets, lines, like, scratch, twice)
-    rest = leads.join(settled.select(F.col("id").alias("x")), "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
-    settled = settled.unionByName(verified(scratch.stored(rest), sets, lines, like, scratch, twice))
+    # The most alike one of each first, then the next few of those that it doesn't settle. The join below has all that are left out here.
+    turns = leads.withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("alike"), "y"))).where(F.col("turn") <= TURNS)
+    turns = scratch.stored(turns.select("x", "y", "turn"))
+    settled = verified(turns.where("turn = 1").select("x", "y"), sets, lines, like, scratch, twice)
+    rest = scratch.stored(turns.where("turn > 1").join(settled.select(F.col("id").alias("x")), "x", "left_anti").select("x", "y"))
+    settled = settled.unionByName(verified(rest, sets, lines, like, scratch, twice))
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
     others = scratch.stored(likely(other_pairs(sets, settled, like), sets, like), spark__sql__constraintPropagation__enabled="false")
     gone = settled.unionByName(verified(others, sets, lines, like, scratch, twice)).withColumn("gone", F.lit(True))
