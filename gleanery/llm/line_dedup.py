@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Scratch, cut, stored
+from gleanery.llm.common import Scratch, cut, free_name, stored
 
 #: Blanks beside the space and the line feed.
 OTHER_BLANKS = "\t\x0b\x0c\r"
@@ -194,6 +194,14 @@ def spot(doc: str = "doc", line: str | Column = "line") -> tuple[Column, Column]
     return F.shiftrightunsigned(h, 64 - MAP_BITS + 6).cast("int"), one_at(F.shiftrightunsigned(h, 64 - MAP_BITS))
 
 
+def parted(df: DataFrame, ids: DataFrame, doc: str, line: str | Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of df that may be among ids (doc, line), and those that surely aren't, which so need no shuffle."""
+    at, one = spot(doc, line)
+    marked = df.withColumn(name := free_name(df, "map"), cut(line_map(ids)).scalar())
+    among = F.get(F.col(name), at).bitwiseAND(one) != 0
+    return marked.where(among).drop(name), marked.where(~among).drop(name)
+
+
 def likely(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     """(x, y, alike): the pairs whose prefixes share enough words, and how many.
 
@@ -297,6 +305,7 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     # The most alike one of each first, then the next few of those that it doesn't settle. The join below has all that are left out here.
     turns = leads.withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("alike"), "y"))).where(F.col("turn") <= TURNS)
     turns = scratch.stored(turns.select("x", "y", "turn"))
+    scratch.drop(leads)
     settled = verified(turns.where("turn = 1").select("x", "y"), sets, lines, like, scratch, twice)
     rest = scratch.stored(turns.where("turn > 1").join(settled.select(F.col("id").alias("x")), "x", "left_anti").select("x", "y"))
     settled = settled.unionByName(verified(rest, sets, lines, like, scratch, twice))
@@ -332,7 +341,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", like:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), count.alias("n_lines"))
     rows = with_own(rows, "key", "text", repeated).select("row", "doc", "own", "n_lines")
     none = F.array().cast("array<int>")
-    out = rows.join(duplicate_lines(docs, repeated, key, text, like), ["doc", "own"], "left").select("row", "n_lines", F.coalesce("removed", none).alias("removed_lines"))
+    removed = duplicate_lines(docs, repeated, key, text, like)
+    # Most documents lose no line: only the others' texts are shuffled.
+    some, whole = parted(rows, removed.select("doc", F.col("own").alias("line")), "doc", "own")
+    out = some.join(removed, ["doc", "own"], "left").select("row", "n_lines", F.coalesce("removed", none).alias("removed_lines"))
+    out = out.unionByName(whole.select("row", "n_lines", none.alias("removed_lines")))
     out = out.select("row.*", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
     if not with_text:
         return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.common import INT, LONG, Scratch, fields, free_name, map_texts, stored
-from gleanery.llm.line_dedup import Similarity
+from gleanery.llm.line_dedup import Similarity, likely, parted
 from gleanery.llm.simhash import components, group_names, majority, shingles
 
 LONGS = T.ArrayType(LONG)
@@ -81,10 +81,20 @@ def pair(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
+def hopeful(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs (a, b) of nodes whose prefixes share as many shingles as those of similar sets do."""
+    halves = sets.select(F.col("node").alias("id"), "n", F.transform("words", lambda w: F.hash(w)).alias("words"))
+    found = likely(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), halves, like)
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, like: Similarity, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes that are as similar as asked: sets are made again for their texts alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "th"), "node")
-    whole = texts.select("th", "text").join(ids, "th").dropDuplicates(["node"]).select("node", "text")
+    pairs = scratch.stored(hopeful(pairs, sets, like))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = scratch.stored(ids.join(sets.select("node", "th"), "node").select("node", "th"))
+    some, _ = parted(texts.select("th", "text"), ids.select(F.col("th").alias("doc"), F.lit(0).alias("line")), "th", F.lit(0))
+    whole = some.join(ids, "th").dropDuplicates(["node"]).select("node", "text")
     whole = scratch.stored(with_sets(whole, shingle), {"compression": "none"})
     side = lambda x: whole.select(F.col("node").alias(x), F.col("words").alias(f"{x}_words"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -143,8 +153,14 @@ def keep_first_copy(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     th = F.xxhash64(F.col(f"`{text}`"))
     rows, roots = groups(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), th.alias("th")), shingle, most)
     named = rows.where("key is not null").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    names = [free_name(docs, "first_key"), own := free_name(docs, "first_text")]
-    first = named.agg(F.min(F.struct("key", "th")).alias("first")).select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("key", "th"), names, strict=True)])
+    first = named.agg(F.min(F.struct("key", "th")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    # Most rows are alone with their id and text and stay: only the others are shuffled with all their columns.
+    counted = rows.where("key is not null").groupBy("key", "th").count().join(first, ["key", "th"], "left")
+    doubt = stored(counted.where("stays is null or count > 1").select("key", "th", F.coalesce("stays", F.lit(False)).alias("stays")))
+    Scratch(docs).drop(rows)
     whole = docs.where(F.col(f"`{key}`").isNotNull()).withColumn(mark := free_name(docs, "text_hash"), th)
-    whole = whole.join(first, (F.col(f"`{key}`") == F.col(names[0])) & (F.col(mark) == F.col(own)), "left_semi").dropDuplicates([key, mark]).drop(mark)
-    return whole.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    some, sure = parted(whole, doubt.select(F.col("key").alias("doc"), F.col("th").alias("line")), f"`{key}`", mark)
+    names = [free_name(whole, n) for n in ("doubt_key", "doubt_hash", "stays")]
+    some = some.join(doubt.toDF(*names), (F.col(f"`{key}`") == F.col(names[0])) & (F.col(mark) == F.col(names[1])), "left")
+    some = some.where(F.coalesce(names[2], F.lit(True))).dropDuplicates([key, mark]).drop(*names)
+    return some.unionByName(sure).drop(mark).unionByName(docs.where(F.col(f"`{key}`").isNull()))

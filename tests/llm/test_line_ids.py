@@ -44,3 +44,24 @@ def test_null_and_repeated_ids_lose_only_their_own_lines(spark):
         lines = want[r.doc_id, r.was]
         assert r.removed_lines == lines, (r.doc_id, r.was)
         assert r.text == "\n".join(x for n, x in enumerate(r.was.split("\n")) if n not in lines)
+
+
+def test_only_documents_that_lose_lines_are_shuffled(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    rows = [(k, "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(3))) for k in range(40)]
+    rows += [(50, rows[0][1]), (51, "one\n" + rows[1][1]), (None, rows[2][1])]
+    want = {i: lines for (i, _), lines in brute(rows).items()}
+    shuffled = []
+    parted = line_dedup.parted
+
+    def seen(df, *more):
+        some, rest = parted(df, *more)
+        shuffled.append(some.count())
+        return some, rest
+
+    monkeypatch.setattr(line_dedup, "parted", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(docs).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == want and len(got) == len(rows)
+    assert shuffled == [sum(bool(x) for x in want.values())]

@@ -72,3 +72,46 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark):
     rows = [(3, a), (3, b), (3, b), (4, b), (2, c), (3, c), (None, a)]
     got = near_copies.keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(3, a), (3, b), (2, c), (-1, a)])
+
+
+def test_texts_that_share_a_passage_alone_are_not_compared_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    passage, base = text(30), text(100)
+    # The passage holds rare shingles of each, so each is met with another.
+    rows = list(enumerate([f"{text(45)} {passage} {text(45)}" for _ in range(40)] + [base, base + " more"]))
+    made = []
+    whole = near_copies.with_sets
+
+    def seen(df, shingle):
+        if "node" in df.columns:
+            made.append(df.count())
+        return whole(df, shingle)
+
+    monkeypatch.setattr(near_copies, "with_sets", seen)
+    got = near_copies.keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == brute_first(rows) == list(range(41))
+    assert sum(made) == 2
+
+
+def test_rows_alone_with_their_text_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(60))) for i in range(30)]
+    rows += [(40, rows[3][1]), rows[4], (None, rows[5][1]), (None, rows[5][1])]
+    want = sorted(((i if i is not None else -1, t) for i, t in rows[:30] + rows[-2:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shuffled = []
+    parted = near_copies.parted
+
+    def seen(df, *more):
+        some, rest = parted(df, *more)
+        shuffled.append((some.count(), df.columns))
+        return some, rest
+
+    monkeypatch.setattr(near_copies, "parted", seen)
+    got = near_copies.keep_first_copy(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in got.collect()) == want
+    assert shuffled[-1][0] < 10
+    # A full map only means more to shuffle.
+    monkeypatch.setattr(near_copies, "parted", lambda df, *more: (df, df.limit(0)))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in near_copies.keep_first_copy(docs).collect()) == want
