@@ -245,32 +245,54 @@ def prefix_words(sets: DataFrame, *more: str) -> DataFrame:
     return sets.select(*SET[:-1], *more, F.posexplode("words").alias("pos", "word"))
 
 
+def packed(words: DataFrame, *more: str) -> DataFrame:
+    """words with n, pos and more (0 or 1) in one long: of a shuffled row every column counts."""
+    flags = reduce(lambda x, c: F.shiftleft(x, 1).bitwiseOR(F.col(c)), more, F.col("pos").cast("long"))
+    return words.withColumn("at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flags)).drop("n", "pos", *more)
+
+
+def of_packed(cell: Cell) -> Cell:
+    low = F.lit((1 << 32) - 1)
+    return lambda c: F.shiftright(cell("at"), 32).cast("int") if c == "n" else cell("at").bitwiseAND(low).cast("int") if c == "pos" else cell(c)
+
+
+def unpacked(words: DataFrame, *more: str) -> DataFrame:
+    low = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    flags = [F.shiftright(low, k).bitwiseAND(F.lit(1)).cast("int").alias(c) for k, c in enumerate(reversed(more))]
+    rest = [c for c in words.columns if c != "at"]
+    return words.select(*rest, F.shiftright("at", 32).cast("int").alias("n"), F.shiftright(low, len(more)).cast("int").alias("pos"), *flags)
+
+
 def at_front(like: Similarity) -> Column:
     """Whether a word is among those of which a set shares one with any similar set that isn't smaller."""
     return F.col("n") - F.col("pos") >= like.overlap(F.col("n"), F.col("n"))
 
 
 def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
-    """(x, y, alike): each set x with a few earlier ones that pass the filters: the first and the last before it of those of about its size that share a rare word.
+    """(x, y): each set x with a few earlier ones that pass the filters: the first and the last before it of those of about its size that share a rare word.
 
     This settles groups of copies at a few pairs a line; all else is found later.
     """
     near = prefix_words(sets).where(at_front(like))
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(like.den / like.num)).alias("size")
-    by_word, own = Window.partitionBy("word", "size").orderBy("id"), F.struct(*SET)
+    near = packed(near.select("*", size))
+    by_word, own = Window.partitionBy("word", "size").orderBy("id"), F.struct("id", "at", *SET[2:-1])
     first = F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     names = [f"before_{k}" for k in range(LAST_ONES + 1)]
-    led = near.select("*", size).select(*SET, *[c.alias(k) for k, c in zip(names, [first, *[F.lag(own, k).over(by_word) for k in range(1, LAST_ONES + 1)]], strict=True)])
-    fits = [F.when((F.col("id") > F.col(k)["id"]) & passing(like, F.col, lambda c, k=k: F.col(k)[c]), F.col(k)["id"]) for k in names]
-    pairs = led.select(F.col("id").alias("x"), F.array_compact(F.array(*fits)).alias("y")).where(F.size("y") > 0).select("x", F.explode("y").alias("y")).distinct()
-    return likely(pairs, sets, like)
+    led = near.select("id", "at", *SET[2:-1], *[c.alias(k) for k, c in zip(names, [first, *[F.lag(own, k).over(by_word) for k in range(1, LAST_ONES + 1)]], strict=True)])
+    cells = [of_packed(lambda c, k=k: F.col(k)[c]) for k in names]
+    fits = [F.when((F.col("id") > y("id")) & passing(like, of_packed(F.col), y), y("id")) for y in cells]
+    return led.select(F.col("id").alias("x"), F.array_compact(F.array(*fits)).alias("y")).where(F.size("y") > 0).select("x", F.explode("y").alias("y")).distinct()
 
 
 def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
     """(x, y): all pairs that pass the filters, with y before x, for each x that isn't settled."""
     # Pairs are met with the smaller set first, whichever comes later.
-    known = sets.select(*SET[:-1], "words").join(settled.select("id", F.lit(0).alias("open")), "id", "left")
-    words = prefix_words(known.withColumn("open", F.coalesce("open", F.lit(1))), "open").repartition("word")
+    some, rest = parted(sets.select(*SET[:-1], "words"), settled.select(F.col("id").alias("doc"), F.lit(0).alias("line")), "id", F.lit(0))
+    some = some.join(settled.select("id", F.lit(0).alias("open")), "id", "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    known = some.unionByName(rest.withColumn("open", F.lit(1)))
+    words = packed(prefix_words(known, "open"), "open").repartition("word")
+    words = unpacked(words, "open")
     # The smaller set, or the earlier of two of one size, has its word near the front. Said so that it isn't done before the shuffle, which both sides share.
     near = words.where(F.when(F.spark_partition_id() >= 0, at_front(like)))
     x, y = [df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("word", *SET, "open")]) for p, df in (("x", near), ("y", words))]
@@ -301,16 +323,20 @@ def duplicate_lines(docs: DataFrame, repeated: DataFrame, key: str = "doc_id", t
     twice = not repeated.where("exists(a, x -> x <> 0)").isEmpty()
     places = cut(word_places(lines))
     sets = scratch.stored(first_lines(described(by_rarity(lines, places), like)))
-    leads = scratch.stored(lead_pairs(sets, like))
+    # Pairs are stored before their sets are looked at, so that the words' shuffle is gone when the sets are shuffled.
+    met = scratch.stored(lead_pairs(sets, like))
+    leads = scratch.stored(likely(met, sets, like))
     # The most alike one of each first, then the next few of those that it doesn't settle. The join below has all that are left out here.
     turns = leads.withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("alike"), "y"))).where(F.col("turn") <= TURNS)
     turns = scratch.stored(turns.select("x", "y", "turn"))
-    scratch.drop(leads)
+    scratch.drop(met, leads)
     settled = verified(turns.where("turn = 1").select("x", "y"), sets, lines, like, scratch, twice)
     rest = scratch.stored(turns.where("turn > 1").join(settled.select(F.col("id").alias("x")), "x", "left_anti").select("x", "y"))
     settled = settled.unionByName(verified(rest, sets, lines, like, scratch, twice))
     # Filters inferred for one use of the words would keep the other from sharing their shuffle.
-    others = scratch.stored(likely(other_pairs(sets, settled, like), sets, like), spark__sql__constraintPropagation__enabled="false")
+    met = scratch.stored(other_pairs(sets, settled, like), spark__sql__constraintPropagation__enabled="false")
+    others = scratch.stored(likely(met, sets, like))
+    scratch.drop(met)
     gone = settled.unionByName(verified(others, sets, lines, like, scratch, twice)).withColumn("gone", F.lit(True))
     groups = sets.select("id", "h1", "h2", "rows", *[F.col(c).alias(f"first_{c}") for c in ("doc", "own", "line")]).join(gone, "id", "left")
     # Most sets have one line, and it stays: they need no second look.

@@ -29,3 +29,14 @@ def test_common_places_come_last(spark):
     got = line_dedup.ranked(lines, places).first().words
     want = sorted((xxhash.xxh64_intdigest(w.encode(), 42) & (size - 1) for w in words))
     assert [(w >> (64 - line_dedup.RARITY_BITS)) + size // 2 for w in got] == want
+
+
+def test_packed_words_come_back(spark):
+    rows = [(7, n, pos, open_) for n, pos in ((1, 0), (10, 9), (70_000, 14_000), (2**31 - 1, 2**30)) for open_ in (0, 1)]
+    words = spark.createDataFrame(rows, "word int, n int, pos int, open int")
+    packed = line_dedup.packed(words, "open")
+    assert packed.columns == ["word", "at"]
+    assert sorted(map(tuple, line_dedup.unpacked(packed, "open").select("word", "n", "pos", "open").collect())) == sorted(rows)
+    plain = line_dedup.packed(words.drop("open"))
+    cell = line_dedup.of_packed(lambda c: plain[c])
+    assert sorted(map(tuple, plain.select(cell("n"), cell("pos")).collect())) == sorted(r[1:3] for r in rows)
