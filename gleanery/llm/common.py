@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +104,13 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
     yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: else a worker keeps it between batches, and for a minute after its last task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str | None]], list[list[Any]]]],
@@ -131,6 +139,10 @@ def map_texts(
                 columns = [part.column(i) for i in keep]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            batch = part = made = columns = None
+            give_back()
+        del work
+        give_back()
 
     return df.mapInArrow(rows, schema)
 

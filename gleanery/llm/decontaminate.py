@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,36 +44,48 @@ class TestSet:
         self.shortest = int(self.window.min(initial=window))
 
 
-def scan_marks(docs: list[list[bytes]], tests: TestSet) -> tuple[np.ndarray, dict[int, set[int]], np.ndarray]:
-    """One shard: hit marks of all words, items by document, longest match by document."""
-    sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-    of = np.repeat(np.arange(len(docs)), sizes)
-    get = tests.ids.get
-    ids = np.array([i for d in docs for i in (*[get(w, 0) for w in d], 0)], dtype=np.int64)
-    marks, items, longest = np.zeros(len(ids) + 1, dtype=np.int64), {}, np.zeros(len(docs), dtype=np.int64)
+def word_ids(texts: list[str | None], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words of all texts, a 0 after each text, and how many there are of each with its 0.
+
+    Words are objects for one text at a time: those of a whole shard take many times the memory of its text.
+    """
+    out, sizes = array("i"), []
+    for t in texts:
+        found = words_of(t)
+        out.extend(map(ids.get, found, repeat(0)))
+        out.append(0)
+        sizes.append(len(found) + 1)
+    return np.frombuffer(out, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+
+def scan_marks(ids: np.ndarray, sizes: np.ndarray, tests: TestSet) -> tuple[np.ndarray, dict[int, set[int]], np.ndarray]:
+    """One shard, as word_ids gives it: hit marks of all words, items by document, longest match by document."""
+    hits, items, longest = np.zeros(len(ids), dtype=bool), {}, np.zeros(len(sizes), dtype=np.int64)
     starts = np.flatnonzero(known_run(ids) >= tests.shortest) if tests.starts.size else np.zeros(0, dtype=np.int64)
     if len(starts):
-        padded = np.concatenate([ids, np.zeros(tests.longest, dtype=np.int64)])
-        array = suffix_array(ids, starts, tests.longest)
-        for depth, query, low, high, below in search(padded, array, tests):
+        ends, marks = np.cumsum(sizes), np.zeros(len(ids) + 1, dtype=np.int32)
+        of = lambda at: np.searchsorted(ends, at, "right")
+        padded = np.concatenate([ids, np.zeros(tests.longest, dtype=ids.dtype)])
+        order = suffix_array(ids, starts, tests.longest)
+        for depth, query, low, high, below in search(padded, order, tests):
             # Suffixes that agree so far share a range: one look at it is enough.
             whole = tests.window[query] == depth
             rank, which = np.unique(low[whole], return_inverse=True)
             at, part = spread(rank, high[whole][first_of(which)])
-            begin = array[at]
+            begin = order[at]
             np.add.at(marks, begin, 1)
             np.add.at(marks, begin + depth, -1)
             by_range: list[set[int]] = [set() for _ in rank]
             for r, i in zip(which.tolist(), tests.item[tests.starts[query[whole]]].tolist(), strict=True):
                 by_range[r].add(i)
-            for d, r in np.unique(np.stack([of[begin], part], axis=1), axis=0).tolist():
+            for d, r in np.unique(np.stack([of(begin), part], axis=1), axis=0).tolist():
                 items.setdefault(d, set()).update(by_range[r])
             # Occurrences that go no deeper end here, at both edges of what does.
             deep = tests.window[query] <= depth
             edges = np.concatenate([np.stack([low, below[0]], axis=1)[deep], np.stack([below[1], high], axis=1)[deep]])
             at, _ = spread(*np.unique(edges[edges[:, 0] < edges[:, 1]], axis=0).T)
-            longest[of[array[at]]] = depth
-    hits = np.cumsum(marks[:-1]) > 0
+            longest[of(order[at])] = depth
+        hits = np.cumsum(marks[:-1], dtype=np.int32) > 0
     return hits, items, longest
 
 
@@ -127,21 +141,19 @@ def find_contamination(
         only = TestSet(blocks[0].value, window) if len(blocks) == 1 else None
 
         def work(texts: list[str | None]) -> list[list]:
-            docs = [words_of(t) for t in texts]
-            names: list[set[str]] = [set() for _ in docs]
-            hit_parts, longest = [], np.zeros(len(docs), dtype=np.int64)
+            names: list[set[str]] = [set() for _ in texts]
+            covered, longest = False, np.zeros(len(texts), dtype=np.int64)
             for block in blocks:
                 tests = only or TestSet(block.value, window)
-                hits, found, deepest = scan_marks(docs, tests)
-                hit_parts.append(hits)
+                ids, sizes = word_ids(texts, tests.ids)
+                hits, found, deepest = scan_marks(ids, sizes, tests)
+                covered = hits | covered
                 longest = np.maximum(longest, deepest)
                 for d, ranks in found.items():
                     names[d].update(tests.names[i] for i in ranks)
-            sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-            covered = np.logical_or.reduce(hit_parts)
-            n_hit = np.add.reduceat(covered.astype(np.int64), np.cumsum(sizes) - sizes).tolist()
+            n_hit = np.add.reduceat(covered, np.cumsum(sizes) - sizes, dtype=np.int64).tolist()
             digest = [hashlib.sha256(",".join(sorted(n)).encode()).hexdigest() for n in names]
-            return [[len(d) for d in docs], n_hit, [len(n) for n in names], digest, longest.tolist(), [n > 0 for n in n_hit]]
+            return [(sizes - 1).tolist(), n_hit, [len(n) for n in names], digest, longest.tolist(), [n > 0 for n in n_hit]]
 
         return work
 

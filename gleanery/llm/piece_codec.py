@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import INT, fields, map_texts
+from gleanery.llm.common import INT, fields, give_back, map_texts
 from gleanery.llm.suffixes import Patterns, packed_keys, sort_suffixes, spread
 from gleanery.llm.token_count import SPACE, check_model, pretokens
 
@@ -301,6 +301,8 @@ def decode_ids(docs: DataFrame, model: str, ids: str = "piece_ids", text: str =
 
     @F.pandas_udf("string")
     def as_text(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else decode(x.tolist(), shared.value))
+        texts = column.map(lambda x: None if x is None else decode(x.tolist(), shared.value))
+        give_back()
+        return texts
 
     return docs.withColumn(text, as_text(F.col(f"`{ids}`")))

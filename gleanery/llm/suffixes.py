@@ -9,8 +9,8 @@ import numpy as np
 
 def known_run(ids: np.ndarray) -> np.ndarray:
     """For each position, how many symbols up to the next unknown one (id 0)."""
-    stops = np.flatnonzero(ids == 0)
-    return stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
+    stops = np.flatnonzero(ids == 0).astype(np.int32)
+    return np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(ids), dtype=np.int32)
 
 
 def packed_keys(ids: np.ndarray, depth: int, bits: int) -> np.ndarray:
