@@ -88,7 +88,11 @@ def lines_of(docs: DataFrame, key: str, text: str, repeated: DataFrame) -> DataF
 
 def one_at(place: Column) -> Column:
     """A long with one bit, at the last six bits of place."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place_in(place))
+
+
+def place_in(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(63)).cast("int")
 
 
 def bucket_of(h: Column, bits: int) -> Column:
@@ -138,7 +142,8 @@ def by_rarity(sets: DataFrame, places: DataFrame) -> DataFrame:
     table = places.select(F.transform("a", lambda p: F.shiftleft(p.cast("long") - (1 << (RARITY_BITS - 1)), 64 - RARITY_BITS))).scalar()
 
     def number(h: Column) -> Column:
-        return F.get("places", bucket_of(h, RARITY_BITS)).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+        # Never null, and said so: an array that may have nulls is sorted as objects.
+        return F.coalesce(F.get("places", bucket_of(h, RARITY_BITS)).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS)), F.lit(0).cast("long"))
 
     rest = [c for c in sets.columns if c != "words"]
     return sets.withColumn("places", table).select(*rest, F.sort_array(F.transform("words", number)).alias("words"))
@@ -148,17 +153,19 @@ def described(sets: DataFrame, like: Similarity) -> DataFrame:
     """(doc, own, line, h1, h2, n, sig, sig_a, sig_b, words): words stands for the prefix.
 
     sig has the parity of the words in each of 64 classes. That tells little of a
-    long set; sig_a and sig_b have the parity of its head's words in each of 128.
+    long set, and takes long; sig_a and sig_b have the parity of its head's words
+    in each of 128. sig is for all sets as similar as asked to one that isn't long.
     """
     n, zero, head = F.size("words").alias("n"), F.lit(0).cast("long"), F.slice("words", F.lit(1), like.head(F.col("n")))
-    # Shifts go by the last six bits of a number.
-    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w)))
-    half = lambda k: F.aggregate(head, zero, lambda acc, w: F.when(F.hash(w).bitwiseAND(F.lit(64)) == k, flip(acc, w)).otherwise(acc))
-    wide = lambda k: F.when(F.col("n") >= LONG_SET, half(k)).otherwise(zero)
+    # Arrays are worked through expression by expression: the last bits of a number are hash enough, and each class is a shift without a condition.
+    flip = lambda acc, w: acc.bitwiseXOR(one_at(w))
+    flip_b = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(1)), place_in(w)))
+    wide = lambda step: F.when(F.col("n") >= LONG_SET, F.aggregate(head, zero, step)).otherwise(zero)
     # Half of a number is enough to meet by.
     prefix = F.transform(F.slice("words", F.lit(1), like.prefix(F.col("n"))), lambda w: F.hash(w))
-    sig = F.aggregate("words", zero, flip).alias("sig")
-    return sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig, wide(0).alias("sig_a"), wide(64).alias("sig_b"), prefix.alias("words"))
+    sig = F.when(F.col("n") * like.num < LONG_SET * like.den, F.aggregate("words", zero, flip)).otherwise(zero).alias("sig")
+    both = sets.select("*", n).select("doc", "own", "line", "h1", "h2", "n", sig, wide(flip).alias("sig_ab"), wide(flip_b).alias("sig_b"), prefix.alias("words"))
+    return both.select("doc", "own", "line", "h1", "h2", "n", "sig", F.col("sig_ab").bitwiseXOR(F.col("sig_b")).alias("sig_a"), "sig_b", "words")
 
 
 #: Columns of a set and a word of its prefix.
@@ -179,8 +186,8 @@ def passing(like: Similarity, x: Cell, y: Cell) -> Column:
     shared = like.overlap(n, m)
     bits = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
     common = F.least(like.head(n) - n, like.head(m) - m) + shared
-    few = (F.least(n, m) < LONG_SET) | (bits("sig_a") + bits("sig_b") <= like.head(n) + like.head(m) - 2 * common)
-    return like.sizes(n, m) & (bits("sig") <= n + m - 2 * shared) & few & (F.least(n - x("pos"), m - y("pos")) >= shared)
+    few = F.when(F.least(n, m) < LONG_SET, bits("sig") <= n + m - 2 * shared).otherwise(bits("sig_a") + bits("sig_b") <= like.head(n) + like.head(m) - 2 * common)
+    return like.sizes(n, m) & few & (F.least(n - x("pos"), m - y("pos")) >= shared)
 
 
 def line_map(ids: DataFrame) -> DataFrame:
@@ -280,9 +287,10 @@ def lead_pairs(sets: DataFrame, like: Similarity) -> DataFrame:
     first = F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     names = [f"before_{k}" for k in range(LAST_ONES + 1)]
     led = near.select("id", "at", *SET[2:-1], *[c.alias(k) for k, c in zip(names, [first, *[F.lag(own, k).over(by_word) for k in range(1, LAST_ONES + 1)]], strict=True)])
-    cells = [of_packed(lambda c, k=k: F.col(k)[c]) for k in names]
-    fits = [F.when((F.col("id") > y("id")) & passing(like, of_packed(F.col), y), y("id")) for y in cells]
-    return led.select(F.col("id").alias("x"), F.array_compact(F.array(*fits)).alias("y")).where(F.size("y") > 0).select("x", F.explode("y").alias("y")).distinct()
+    # Most words are of one set. A pair a row keeps the filters in one piece of code, small enough for the JVM to compile.
+    met = led.where(F.col(names[1]).isNotNull()).select("id", "at", *SET[2:-1], F.explode(F.array(*names)).alias("y"))
+    y = of_packed(lambda c: F.col("y")[c])
+    return met.where((F.col("id") > y("id")) & passing(like, of_packed(F.col), y)).select(F.col("id").alias("x"), y("id").alias("y")).distinct()
 
 
 def other_pairs(sets: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
